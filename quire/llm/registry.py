@@ -6,19 +6,34 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import sentencepiece_codec
-from quire.llm.common import table
+from quire.llm import pii, sentencepiece_codec, shards, warc
+from quire.llm.common import cut, table
 
 PIECES = "piece_bpe_32k.model"
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.by_bytes(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = cut(warc.write(table(spark, sf_dir, "pages")))  # written to the shared folder, then read back
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_sentencepiece": op4_sentencepiece}
+    return {f.__name__: f for f in (op3_sharding, op4_sentencepiece, op7_pii, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
