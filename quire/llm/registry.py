@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, pii, sentencepiece_codec, shards, warc
+from quire.llm import fingerprint, langid, pii, sentencepiece_codec, shards, warc
 from quire.llm.common import cut, table
 
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs, ~langid.held_out()))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.by_bytes(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,7 +43,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_sharding, op4_sentencepiece, op7_pii, op8_warc)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_sharding, op4_sentencepiece, op7_pii, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
