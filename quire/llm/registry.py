@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, langid, pii, sentencepiece_codec, shards, warc
+from quire.llm import fingerprint, langid, pii, sentencepiece_codec, shards, simhash, warc
 from quire.llm.common import cut, table
 
 PIECES = "piece_bpe_32k.model"
@@ -42,8 +42,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"), words=4, radius=4, bits=64)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_sharding, op4_sentencepiece, op7_pii, op8_warc)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_sharding, op4_sentencepiece, op7_pii, op8_warc, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
