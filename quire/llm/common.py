@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold: with texts of a few kB a batch stays at a few MB.
@@ -47,3 +47,8 @@ def arrow_map(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def literal(values: list, kind: str) -> Column:
+    """A constant array of numbers, folded by the optimizer: one literal, however many values."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, small_batches, texts
+from quire.llm.common import arrow_map, literal, small_batches, texts
 
 SAMPLES, BUCKETS = 64, 1 << 15
 #: (word, weight) pairs whose samples a worker remembers.
@@ -154,11 +154,12 @@ def _ranges(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
     n = len(tops)
     if not n:
         return docs.withColumns({"part": F.lit(0), "extra": F.lit(0)}), 1
-    part = F.element_at(F.lit(part_of), bucket + 1)
+    part = F.element_at(literal(part_of, "int"), bucket + 1)
     own = F.struct(part.alias("part"), F.lit(0).alias("extra"))
     closing = F.struct(F.pmod(part + 1, F.lit(n)).alias("part"), F.lit(1).alias("extra"))
-    first = F.col("doc_id").eqNullSafe(F.element_at(F.lit(tops) if any(t is not None for t in tops) else F.array(F.lit(None).cast("long")), part + 1))
-    dealt = docs.withColumn("to", F.explode(F.when(first, F.array(own, closing)).otherwise(F.array(own))))
+    top = F.try_element_at(literal([low if t is None else t for t in tops], "long"), part + 1)
+    first = F.when(F.element_at(literal([int(t is None) for t in tops], "int"), part + 1) == 1, F.col("doc_id").isNull()).otherwise(F.col("doc_id") == top)
+    dealt = docs.withColumn("to", F.explode(F.when(F.coalesce(first, F.lit(False)), F.array(own, closing)).otherwise(F.array(own))))
     return dealt.select("doc_id", "text", "to.part", "to.extra"), n
 
 

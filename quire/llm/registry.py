@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, langid, pii, sentencepiece_codec, shards, simhash, warc
+from quire.llm import fingerprint, langid, mixing, pii, sentencepiece_codec, shards, simhash, warc
 from quire.llm.common import cut, table
 
 PIECES = "piece_bpe_32k.model"
@@ -47,8 +47,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+#: Shares of the tokens wanted of each domain.
+TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id, domain of the labels table."""
+    toxic, quality = F.col("toxic"), F.col("quality")
+    return labels.select("doc_id", F.when(toxic == 1, "toxic").when(quality == 1, "good").when(quality == 0, "poor").alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, mix = mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+    p = [F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(mix.classifier.domains)]
+    return found.select("doc_id", "n_tokens", *p, "rate", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_sharding, op4_sentencepiece, op7_pii, op8_warc, op9_simhash)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_sharding, op4_sentencepiece, op7_pii, op8_warc, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
