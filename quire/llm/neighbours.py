@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import small_batches
+
 TREES, SAMPLE, LEAF, SEARCH, SPLIT_LEAST = 3, 20_000, 192, 6_000, 8
 
 
@@ -121,6 +123,7 @@ def _keys(x: np.ndarray) -> list[bytes]:
 
 def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, sample: int = SAMPLE, search: int = SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of df for which `queries` (of df's columns) holds."""
+    small_batches(df.sparkSession, 4096)
     kind = "float" if df.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))

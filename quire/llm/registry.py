@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprint, langid, mixing, neighbours, pii, sentencepiece_codec, shards, simhash, warc
+from quire.llm import fingerprint, langid, mixing, neighbours, pii, repeats, sentencepiece_codec, shards, simhash, warc
 from quire.llm.common import cut, table
 
 PIECES = "piece_bpe_32k.model"
@@ -33,6 +33,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -68,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_sharding, op4_sentencepiece, op6_neighbours, op7_pii, op8_warc, op9_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_language, op3_sharding, op4_sentencepiece, op5_suffix_dedup, op6_neighbours, op7_pii, op8_warc, op9_simhash, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, small_batches
 
 SHARDS = 16
 
@@ -31,6 +31,7 @@ def by_bytes(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     """doc_id, size, text_crc32, shard, slot: slots count from 0 in each shard, in order of doc_id."""
     if shards < 1:
         raise ValueError("shards must be 1 or more")
+    small_batches(df.sparkSession, 10_000)  # of numbers
     text = F.col(text_col).cast("string")
     sized = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
