@@ -22,14 +22,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors share; one of our own only where the session names none, as in tests."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir("/tmp/checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
 
-    A folder of our own is set only where the session names none, as in tests."""
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -38,7 +45,7 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def arrow_map(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """Maps each Arrow batch; a batch of no rows gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

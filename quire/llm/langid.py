@@ -195,21 +195,42 @@ def fit(df: DataFrame, usable: Column, **columns) -> Network:
 _nets: dict[bytes, Network] = {}
 
 
+def _unpacked(packed: bytes) -> Network:
+    """The network; a worker unfolds its tables once."""
+    if packed not in _nets:
+        _nets.clear()
+        _nets[packed] = pickle.loads(packed)
+    return _nets[packed]
+
+
 def identify(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     small_batches(df.sparkSession)
     packed = pickle.dumps(net)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
-        if packed not in _nets:  # a worker unfolds the tables once
-            _nets.clear()
-            _nets[packed] = pickle.loads(packed)
-        got = _nets[packed].predict(b["text"].to_pylist())
+        got = _unpacked(packed).predict(b["text"].to_pylist())
         return pa.RecordBatch.from_arrays([b["doc_id"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return arrow_map(texts(df, id_col, text_col), of, "doc_id long, lang_pred string, score double")
 
 
+def kept(df: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose text has a language; no exchange.
+
+    A text of a window's bytes or more needs a score of `least`; a shorter one says too little to be rejected by it."""
+    small_batches(df.sparkSession)
+    packed = pickle.dumps(net)
+
+    def of(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        some = [t or "" for t in b[text_col].to_pylist()]
+        got = _unpacked(packed).predict(some)
+        b = b.filter(pa.array([lang != UNKNOWN and (score >= least or len(t.encode()) < WINDOW) for t, (lang, score) in zip(some, got, strict=True)]))
+        return b if b.num_rows else None
+
+    return arrow_map(df, of, df.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The quarter of the documents that teach nothing: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -7,6 +7,8 @@ of all documents are then fitted so that the expected tokens of each domain, the
 documents of n p(domain) r, meet target * budget: least squares over the domains, weighted by
 their size, by projected gradient from r = 1. The gradient of a document depends on its
 posteriors and on the domains' residuals alone, so a step is one aggregate of a few numbers.
+Posteriors are told in steps of 1 / GRID: documents that have them in common move together, so
+that the steps run over one row for each different vector with its tokens summed up.
 
 DataFrame functions only. The driver sees the sample's features and the domains' sums; texts are
 not shuffled. Sampled ids are broadcast, PER_DOMAIN a domain at most.
@@ -29,11 +31,16 @@ from quire.llm.common import cut, literal
 
 BUCKETS, PER_DOMAIN, CHOSEN, LEAST = 1 << 15, 2_000, 512, 10
 FIT_STEPS, FIT_RATE, DECAY = 300, 0.05, 1e-3
-STEPS, GOOD_ENOUGH, DEEP = 40, 1e-5, 8
+STEPS, GOOD_ENOUGH, DEEP, GRID = 40, 5e-4, 8, 1000
 #: A rate this near a whole number is taken as it.
 WHOLE = 0.05
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: no rule puts a generator's output back into what reads it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: x != "")
 
@@ -73,18 +80,21 @@ class Classifier:
         if len(self.domains) < 2:
             return df.withColumn(name, F.array(*[F.lit(1.0)] * len(self.domains)))
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        df = df.withColumn("__words", _words(text))
-        df = df.withColumn("__shape", F.array(*_shape(text, F.col("__words")))).withColumn("__in", F.array_intersect(_hashed(F.col("__words")), literal(self.chosen or [-1], "int")))
+        df = held(df, "__words", _words(text))
+        df = held(df, "__seen", F.struct(F.array(*_shape(text, F.col("__words"))).alias("shape"), F.array_intersect(_hashed(F.col("__words")), literal(self.chosen or [-1], "int")).alias("in"))).drop("__words")
         odds = []
         for c, shape, weights in zip(self.constant, self.shapes, self.weights, strict=True):
             own = [0.0] * BUCKETS
             for b, w in zip(self.chosen, weights, strict=True):
                 own[b] = w
-            odds.append(sum((F.element_at("__shape", i + 1) * F.lit(w) for i, w in enumerate(shape)), F.lit(c)) + _summed(F.col("__in"), literal(own, "double")))
-        df = df.withColumn("__odds", F.array(*odds))
-        df = df.withColumn("__e", F.transform("__odds", lambda x: F.exp(x - F.array_max("__odds"))))
+            odds.append(sum((F.element_at("__seen.shape", i + 1) * F.lit(w) for i, w in enumerate(shape)), F.lit(c)) + _summed(F.col("__seen.in"), literal(own, "double")))
+        df = held(df, "__odds", F.array(*odds)).drop("__seen")
+        df = held(df, "__e", F.transform("__odds", lambda x: F.exp(x - F.array_max("__odds")))).drop("__odds")
         total = sum((F.element_at("__e", i + 2) for i in range(len(odds) - 1)), F.element_at("__e", 1))
-        return df.withColumn(name, F.array(*[F.element_at("__e", i + 1) / total for i in range(len(odds))])).drop("__words", "__shape", "__in", "__odds", "__e")
+        others = [F.round(F.element_at("__e", i + 2) / total * GRID) for i in range(len(odds) - 1)]
+        df = held(df, "__others", F.array(*others)).drop("__e")
+        first = F.greatest(F.lit(0.0), F.lit(float(GRID)) - F.aggregate("__others", F.lit(0.0), lambda a, x: a + x))
+        return held(df, name, F.transform(F.concat(F.array(first), F.col("__others")), lambda x: x / GRID)).drop("__others")
 
 
 def _summed(found: Column, weights: Column) -> Column:
@@ -142,9 +152,12 @@ def _regression(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 def _rate(start: Column, steps: list[list[float]], p: Column) -> Column:
     """The rate after gradient steps; each has a number for every domain."""
-    for step in steps:
-        start = F.greatest(F.lit(0.0), start - sum((F.element_at(p, d + 1) * F.lit(x) for d, x in enumerate(step)), F.lit(0.0)))
-    return start
+    if not steps:
+        return start
+    n = len(steps[0])
+    flat = literal([x for step in steps for x in step], "double")
+    moved = lambda r, k: r - sum((F.element_at(p, d + 1) * F.element_at(flat, k * n + d + 1) for d in range(n)), F.lit(0.0))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, lambda r, k: F.greatest(F.lit(0.0), moved(r, k)))
 
 
 @dataclass
@@ -176,6 +189,7 @@ def solve(classifier: Classifier, table: DataFrame, targets: dict[str, float], b
         row = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.element_at("p", d + 1) * rate), F.lit(0.0)).alias(f"s{d}") for d in range(len(domains))]).first()
         return [float(x) for x in row]
 
+    table = cut(table.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")))
     size = sums(F.lit(1.0))
     total = sum(size)
     if not total:
@@ -210,12 +224,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: f
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = cut(classifier.add(read).select("doc_id", n_tokens(F.col("text")).alias("n_tokens"), "p"))
     found = solve(classifier, table, targets, budget)
-    return table.withColumn("rate", found.rate(F.col("p"))).withColumn("copies", drawn(F.col("rate"), F.col("doc_id"))), found
+    return held(table, "rate", found.rate(F.col("p"))).withColumn("copies", drawn(F.col("rate"), F.col("doc_id"))), found
 
 
 def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
     """The rows of docs, each as often as its rate says, with their own columns."""
     _, found = mix(docs, labels, targets, budget, id_col, text_col, domain_col)
-    rated = found.classifier.add(docs, text_col, "__p")
-    counted = rated.withColumn("__copies", drawn(found.rate(F.col("__p")), F.col(id_col).cast("long"))).drop("__p").filter(F.col("__copies") > 0)
-    return counted.withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).drop("__copies")
+    rated = held(found.classifier.add(docs, text_col, "__p"), "__rate", found.rate(F.col("__p"))).drop("__p")
+    counted = held(rated, "__copies", drawn(F.col("__rate"), F.col(id_col).cast("long"))).drop("__rate")
+    return counted.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).drop("__copy", "__copies")

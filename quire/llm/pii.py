@@ -212,8 +212,8 @@ def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "term"])
 
-    in_docs = docs.mapInArrow(run, "doc_id long, term string").join(terms, "term").groupBy("doc_id").agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("told"))
-    return docs.join(in_docs, "doc_id", "left"), None
+    in_docs = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, term string").join(terms, "term").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("told"))
+    return docs.join(in_docs, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id"), None
 
 
 def _mapped(df: DataFrame, of_text, schema: str, names: list[str], id_col: str, text_col: str, **settings) -> DataFrame:
@@ -226,11 +226,7 @@ def _mapped(df: DataFrame, of_text, schema: str, names: list[str], id_col: str,
         own = batch["told"].to_pylist() if told is None else [None] * batch.num_rows
         rows = []
         for doc_id, text, mine in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), own, strict=True):
-            known = told
-            if known is None:
-                known = {}
-                for x in mine or ():
-                    known.setdefault(x["term"], []).append((x["kind"], x["disclosure"]))
+            known = told if told is not None else _known(mine)
             spans = base_spans(text)
             rows.append((doc_id, *of_text(text, spans, _term_spans(text, spans, known))))
         return pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], arrow)
@@ -250,16 +246,42 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settin
     return _mapped(df, row, ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'long'}" for n in names), names, id_col, text_col, **settings)
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, **settings) -> DataFrame:
-    """doc_id, text: entities replaced by their kind's name, disclosing words by [TERM] or, from `remove` on, by nothing."""
+def cleaned(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int, int, float]], remove: float = REMOVE) -> str:
+    """The text with entities replaced by their kind's name, disclosing words by [TERM] or, from `remove` on, by nothing."""
+    cuts = sorted([(s, e, f"[{KINDS[k].upper()}]") for k, s, e in spans] + [(s, e, "" if d >= remove else "[TERM]") for s, e, d in terms])
+    out, at = [], 0
+    for s, e, put in cuts:
+        if s >= at:  # of entities that overlap, the first stands for both
+            out += [text[at:s], put]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
 
-    def row(text, spans, terms):
-        cuts = sorted([(s, e, f"[{KINDS[k].upper()}]") for k, s, e in spans] + [(s, e, "" if d >= remove else "[TERM]") for s, e, d in terms])
-        out, at = [], 0
-        for s, e, put in cuts:
-            if s >= at:  # of entities that overlap, the first stands for both
-                out += [text[at:s], put]
-            at = max(at, e)
-        return ("".join([*out, text[at:]]),)
-
-    return _mapped(df, row, "doc_id long, text string", ["doc_id", "text"], id_col, text_col, **settings)
+
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, most: int = TERMS, **settings) -> DataFrame:
+    """df's rows and columns with cleaned texts; null texts stay null."""
+    small_batches(df.sparkSession)
+    docs, told = _with_terms(texts(df, id_col, text_col), disclosing(texts(df, id_col, text_col), most=most, **settings), most)
+    rows, own, columns = df, None, df.columns
+    if told is None:
+        own = "__told"
+        in_docs = docs.select(F.col("doc_id").alias("__doc_id"), F.col("told").alias(own)).filter(F.col(own).isNotNull()).dropDuplicates(["__doc_id"])
+        rows = df.join(in_docs, df[id_col].cast("long").eqNullSafe(in_docs["__doc_id"]), "left").drop("__doc_id")
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mine, out = batch[own].to_pylist() if own else [None] * batch.num_rows, []
+        for text, x in zip(batch[text_col].to_pylist(), mine, strict=True):
+            known = told if told is not None else _known(x)
+            spans = base_spans(text) if text else []
+            out.append(cleaned(text, spans, _term_spans(text, spans, known), remove) if spans else text)
+        at = batch.schema.get_field_index(text_col)
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+        return batch.select(columns)
+
+    return arrow_map(rows, of, df.schema)
+
+
+def _known(told: list[dict] | None) -> dict[str, list[tuple[int, float]]]:
+    known: dict[str, list[tuple[int, float]]] = {}
+    for x in told or ():
+        known.setdefault(x["term"], []).append((x["kind"], x["disclosure"]))
+    return known

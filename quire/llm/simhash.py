@@ -13,6 +13,10 @@ so that a large group of copies costs as many rows as it has members. Links are
 components by alternating large and small stars, each round cut by a checkpoint.
 
 Equal fingerprints are one class before anything is compared; classes, not documents, meet.
+Wide fingerprints estimate a similarity more sharply: their first 128 bits are compared as above within a
+radius that loses next to nothing, and a pair found is a link only if all bits agree within `exact`.
+`keep_first` uses that for a Jaccard similarity of shingle sets, whose cosine is 2 J / (1 + J) for sets of a size.
+
 The comparison is quadratic in the number of different fingerprints by nature of the method.
 
 Cases: a null or empty text or one of white space alone has the fingerprint 0, which is
@@ -22,6 +26,7 @@ rows are classed alike; an empty table gives no rows; columns other than id and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +38,37 @@ from pyspark.sql import functions as F
 from quire.llm.common import arrow_map, cut, small_batches, texts
 
 WORDS, RADIUS, BITS = 5, 4, 64
+#: For near duplicates of a Jaccard similarity: all bits, and standard deviations that the first 128 are given beyond the bits expected to differ.
+WIDE, SIMILAR, BEYOND = 1152, 0.8, 2.5
 #: Fingerprints of a tile at most and at least, tiles aimed at, and fingerprints of a leaf.
 TILE, TILE_LEAST, TILES, LEAF = 131_072, 2_048, 32, 256
 #: Shingles hashed at a time, and matches held before they are reduced to a forest.
 HELD, MATCHES = 1 << 16, 1 << 20
 
 
-def fingerprint(text: str, words: int = WORDS, bits: int = BITS) -> bytes:
-    """Big-endian bytes: bits 64 takes XXH64 with seed 42, bits 128 takes XXH3."""
+def bit_sums(rows: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set: bytes are added up in groups that a byte can hold."""
+    n = -(-len(rows) // 255)
+    filled = np.zeros((n * 255, rows.shape[1]), np.uint8)
+    filled[: len(rows)] = rows
+    return np.unpackbits(filled, axis=1).reshape(n, 255, -1).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def widened(h: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of 128 bits followed by as many bits mixed from them as are wanted."""
+    a, b = h.view(np.uint64).T
+    out = np.empty((len(h), bits // 64), np.uint64)
+    out[:, :2] = h.view(np.uint64)
+    for k in range(2, bits // 64):
+        x = a + b * np.uint64(2 * k + 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out.view(np.uint8)
+
+
+def fingerprint(text: str, words: int = WORDS, bits: int = BITS, repeats: bool = True) -> bytes:
+    """Big-endian bytes: bits 64 takes XXH64 with seed 42, 128 XXH3, multiples of it widen that. Without repeats a shingle counts once."""
     w = text.encode().lower().split()
     if not w:
         return bytes(bits // 8)
@@ -49,21 +77,26 @@ def fingerprint(text: str, words: int = WORDS, bits: int = BITS) -> bytes:
     starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
     ends = (ends[words - 1 :] - 1).tolist() if len(w) >= words else [len(joined)]
     digest = (lambda x: xxhash.xxh64_digest(x, 42)) if bits == 64 else xxhash.xxh3_128_digest
-    total = np.zeros(bits, np.int64)
-    for i in range(0, n, HELD):
-        h = b"".join([digest(joined[s:e]) for s, e in zip(starts[i : i + HELD], ends[i : i + HELD], strict=True)])
-        total += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.uint32)
+    shingles = [joined[s:e] for s, e in zip(starts, ends, strict=True)] if not repeats else None
+    if shingles:
+        shingles = list(dict.fromkeys(shingles))
+        n = len(shingles)
+    total, step = np.zeros(bits, np.int64), max(255, HELD * 64 // bits)
+    for i in range(0, n, step):
+        some = shingles[i : i + step] if shingles else [joined[s:e] for s, e in zip(starts[i : i + step], ends[i : i + step], strict=True)]
+        h = np.frombuffer(b"".join(map(digest, some)), np.uint8).reshape(len(some), -1)
+        total += bit_sums(h if bits <= 128 else widened(h, bits))
     return np.packbits(2 * total > n).tobytes()
 
 
-def fingerprints(df: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
     """doc_id, fp (binary) of every whole text."""
-    if bits not in (64, 128):
-        raise ValueError("bits must be 64 or 128")
+    if bits != 64 and (bits < 128 or bits % 128):
+        raise ValueError("bits must be 64 or a multiple of 128")
     small_batches(df.sparkSession)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t, words, bits) for t in b["text"].to_pylist()], pa.binary())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t, words, bits, repeats) for t in b["text"].to_pylist()], pa.binary())], ["doc_id", "fp"])
 
     return arrow_map(texts(df, id_col, text_col), of, "doc_id long, fp binary")
 
@@ -115,8 +148,13 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes, label[nodes]
 
 
-def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among a (b is None) or between a and b, as positions in a then b."""
+def links(a: np.ndarray, b: np.ndarray | None, radius: int, exact: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among a (b is None) or between a and b, as positions in a then b.
+
+    With `exact`, the first two words agree within the radius and all within `exact`."""
+    wide = (a, a if b is None else b)
+    if exact is not None:
+        a, b = np.ascontiguousarray(a[:, :2]), None if b is None else np.ascontiguousarray(b[:, :2])
     oa, la, lowa, higha = leaves(a)
     ob, lb, lowb, highb = (oa, la, lowa, higha) if b is None else leaves(b)
     sa, sb = np.ascontiguousarray(a[oa]), np.ascontiguousarray((a if b is None else b)[ob])
@@ -138,6 +176,9 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
                 x, y = np.nonzero(hit)
                 if b is None and i == j:
                     x, y = x[x < y], y[x < y]
+                if exact is not None:
+                    near = np.bitwise_count(wide[0][oa[s + x]] ^ wide[1][ob[t + y]]).sum(axis=1) <= exact
+                    x, y = x[near], y[near]
                 us.append(oa[s + x])
                 vs.append(ob[t + y] + shift)
                 held += len(x)
@@ -151,13 +192,13 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
 
 def _tiles(distinct: DataFrame, n: int, bits: int) -> DataFrame:
     """tile, low, high (population counts), fps (packed) of the different fingerprints, in order of their counts."""
-    size = min(TILE, max(TILE_LEAST, -(-n // TILES)))
+    size = min(TILE * 64 // bits, max(TILE_LEAST, -(-n // TILES)))
     words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(data: list[bytes]) -> pa.RecordBatch:
             packed = b"".join(data)
-            count = np.bitwise_count(np.frombuffer(packed, np.uint64).reshape(-1, words)).sum(axis=1, dtype=np.int32)
+            count = np.bitwise_count(np.frombuffer(packed, np.uint64).reshape(-1, words)[:, :2]).sum(axis=1, dtype=np.int32)
             return pa.RecordBatch.from_arrays([pa.array([int(count.min())], pa.int32()), pa.array([int(count.max())], pa.int32()), pa.array([packed], pa.binary())], ["low", "high", "fps"])
 
         held: list[bytes] = []
@@ -170,17 +211,17 @@ def _tiles(distinct: DataFrame, n: int, bits: int) -> DataFrame:
         if held:
             yield out(held)
 
-    counted = distinct.select("fp", count_bits("fp", bits).alias("count"))
+    counted = distinct.select("fp", count_bits("fp", min(bits, 128)).alias("count"))
     dealt = counted.repartitionByRange(max(1, -(-n // size)), "count", "fp").sortWithinPartitions("count", "fp")
     return cut(dealt.select("fp").mapInArrow(run, "low int, high int, fps binary").withColumn("tile", F.monotonically_increasing_id()))
 
 
 def count_bits(col: str, bits: int):
-    """Population count of a binary column of 8 or 16 bytes."""
+    """Population count of a binary column's first bits."""
     return sum(F.bit_count(F.conv(F.hex(F.substring(col, i, 4)), 16, 10).cast("long")) for i in range(1, bits // 8 + 1, 4))
 
 
-def edges(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+def edges(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, exact: int | None = None) -> DataFrame:
     """u, v (fp binary): links that join the components of the different fingerprints of a column fp."""
     n = distinct.count()
     tiles = _tiles(distinct, n, bits)
@@ -200,7 +241,7 @@ def edges(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFr
                 i, j = batch["i"][r].as_py(), batch["j"][r].as_py()
                 a = np.frombuffer(batch["a"][r].as_buffer(), np.uint64).reshape(-1, words)
                 b = None if i == j else np.frombuffer(batch["b"][r].as_buffer(), np.uint64).reshape(-1, words)
-                u, v = links(a, b, radius)
+                u, v = links(a, b, radius, exact)
                 if len(u):
                     both = a if b is None else np.concatenate([a, b])
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in both[k]], pa.binary()) for k in (u, v)], ["u", "v"])
@@ -236,22 +277,30 @@ def components(e: DataFrame) -> DataFrame:
     return e
 
 
-def classes(df: DataFrame, words: int = WORDS, radius: int = RADIUS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(df: DataFrame, words: int = WORDS, radius: int = RADIUS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None, repeats: bool = True) -> DataFrame:
     """doc_id, fp, component_id of every document."""
-    prints = cut(fingerprints(df, words, bits, id_col, text_col))
+    prints = cut(fingerprints(df, words, bits, id_col, text_col, repeats))
     by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    tied = components(edges(by_print.select("fp"), radius, bits)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    tied = components(edges(by_print.select("fp"), radius, bits, exact)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = by_print.join(tied, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(df: DataFrame, words: int = WORDS, radius: int = RADIUS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def differing(similarity: float) -> float:
+    """The share of bits that are expected to differ between sets of a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def keep_first(df: DataFrame, words: int = WORDS, similarity: float = SIMILAR, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each component, that of the least id, with all their columns; of rows that repeat its id, one.
 
+    Links are between texts whose shingle sets have the Jaccard similarity or more, as estimated from all bits.
     Rows without an id stay, since nothing tells which of them to keep."""
-    found = classes(df, words, radius, bits, id_col, text_col)
+    p = differing(similarity)
+    radius = math.floor(128 * p + BEYOND * math.sqrt(128 * p * (1 - p)))
+    found = classes(df, words, radius, bits, id_col, text_col, exact=math.floor(bits * p), repeats=False)
     kept = cut(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
     key = "__kept_id"
     kept = kept.withColumnRenamed("doc_id", key).withColumnRenamed("n", "__n")
