@@ -125,14 +125,16 @@ class Chunk:
 
     def hashes(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, hashes, whether two documents of the chunk hold it) of the chunk's different anchors."""
+        if not len(self.keys):
+            return []
         order = np.lexsort((self.docs, self.keys))
         keys, docs = self.keys[order], self.docs[order]
-        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         last = np.concatenate([head[1:], [len(keys)]]) - 1
         unique, many = keys[head], docs[head] != docs[last]
         shard = (unique % np.uint64(self.shards)).astype(np.int64)
         by = np.argsort(shard, kind="stable")
-        bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[by]) != 0, [True]])) if len(by) else np.empty(0, np.int64)
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[by]) != 0, [True]]))
         return [(int(shard[by[a]]), unique[by[a:b]], many[by[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def contexts(self, told: dict[int, bytes]) -> tuple[list[tuple[int, list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
