@@ -193,7 +193,8 @@ class Chunk:
 
 #: What a shard tells a chunk: for strings start..stop of a context the least id of a document that holds them.
 FOUND = np.dtype([("number", "<u4"), ("start", "u1"), ("stop", "u1"), ("least", "<i8")])
-ENTRY = np.dtype([("key", "<u8"), ("size", "u1"), ("single", "u1"), ("least", "<i8")])
+#: The upper half of a hash suffices inside a shard: what it takes for equal is told apart by the context.
+ENTRY = np.dtype([("key", "<u4"), ("size", "u1"), ("single", "u1"), ("least", "<i8")])
 
 
 def packed_hashes(keys: np.ndarray, many: np.ndarray) -> bytes:
@@ -241,6 +242,7 @@ def shard_answers(blobs: list[bytes], length: int, memory: int = suffix.MEMORY)
     numbers: dict[tuple[int, bytes], int] = {}
     chunks, leasts = [], []
     for b in blobs:
+        b = zstandard.ZstdDecompressor().decompress(b)
         n = int.from_bytes(b[:4], "little")
         e = np.frombuffer(b, ENTRY, n, 4)
         stops = (4 + n * ENTRY.itemsize + np.cumsum(e["size"], dtype=np.int64)).tolist()
@@ -337,8 +339,8 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = C
                 rows = []
                 for s, pairs, least, single, _ in make(b, r).contexts(told(b, r, "told"))[0]:
                     e = np.empty(len(pairs), ENTRY)
-                    e["key"], e["size"], e["single"], e["least"] = [k for k, _ in pairs], [len(c) for _, c in pairs], single, least
-                    rows.append((s, b["chunk"][r].as_py(), len(pairs).to_bytes(4, "little") + e.tobytes() + b"".join(c for _, c in pairs)))
+                    e["key"], e["size"], e["single"], e["least"] = [k >> 32 for k, _ in pairs], [len(c) for _, c in pairs], single, least
+                    rows.append((s, b["chunk"][r].as_py(), zstandard.ZstdCompressor(level=1).compress(len(pairs).to_bytes(4, "little") + e.tobytes() + b"".join(c for _, c in pairs))))
                 if rows:
                     yield batch(rows)
 
