@@ -191,29 +191,32 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int, exact: int | None =
 
 
 def _tiles(distinct: DataFrame, n: int, bits: int) -> DataFrame:
-    """tile, low, high (population counts), fps (packed) of the different fingerprints, in order of their counts."""
+    """tile, low, high (population counts), nodes and fps (packed) of the different fingerprints, in order of their counts."""
     size = min(TILE * 64 // bits, max(TILE_LEAST, -(-n // TILES)))
     words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(data: list[bytes]) -> pa.RecordBatch:
+        def out(nodes: list[int], data: list[bytes]) -> pa.RecordBatch:
             packed = b"".join(data)
             count = np.bitwise_count(np.frombuffer(packed, np.uint64).reshape(-1, words)[:, :2]).sum(axis=1, dtype=np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([int(count.min())], pa.int32()), pa.array([int(count.max())], pa.int32()), pa.array([packed], pa.binary())], ["low", "high", "fps"])
+            columns = [pa.array([int(count.min())], pa.int32()), pa.array([int(count.max())], pa.int32()), pa.array([np.array(nodes, np.int64).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([packed], pa.binary())], ["low", "high", "nodes", "fps"])
 
+        nodes: list[int] = []
         held: list[bytes] = []
         for b in batches:
-            for fp in b["fp"].to_pylist():
+            for node, fp in zip(b["node"].to_pylist(), b["fp"].to_pylist(), strict=True):
+                nodes.append(node)
                 held.append(fp)
                 if len(held) == size:
-                    yield out(held)
-                    held = []
+                    yield out(nodes, held)
+                    nodes, held = [], []
         if held:
-            yield out(held)
+            yield out(nodes, held)
 
-    counted = distinct.select("fp", count_bits("fp", min(bits, 128)).alias("count"))
+    counted = distinct.select("node", "fp", count_bits("fp", min(bits, 128)).alias("count"))
     dealt = counted.repartitionByRange(max(1, -(-n // size)), "count", "fp").sortWithinPartitions("count", "fp")
-    return cut(dealt.select("fp").mapInArrow(run, "low int, high int, fps binary").withColumn("tile", F.monotonically_increasing_id()))
+    return cut(dealt.select("node", "fp").mapInArrow(run, "low int, high int, nodes binary, fps binary").withColumn("tile", F.monotonically_increasing_id()))
 
 
 def count_bits(col: str, bits: int):
@@ -222,7 +225,7 @@ def count_bits(col: str, bits: int):
 
 
 def edges(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, exact: int | None = None) -> DataFrame:
-    """u, v (fp binary): links that join the components of the different fingerprints of a column fp."""
+    """u, v (long): links that join the components of the different fingerprints of columns node (a number for each) and fp."""
     n = distinct.count()
     tiles = _tiles(distinct, n, bits)
     words, bucket = bits // 64, radius + 1
@@ -230,7 +233,8 @@ def edges(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, exact: in
     a = tiles.select(F.col("tile").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), spans(F.col("low"), F.col("high")).alias("bucket"))
     b = tiles.select(F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), spans(F.col("low") - radius, F.col("high") + radius).alias("bucket"))
     near = a.join(b, "bucket").filter((F.col("i") <= F.col("j")) & (F.col("low_i") - F.col("high_j") <= radius) & (F.col("low_j") - F.col("high_i") <= radius)).select("i", "j").distinct()
-    pairs = near.join(tiles.select(F.col("tile").alias("i"), F.col("fps").alias("a")), "i").join(tiles.select(F.col("tile").alias("j"), F.col("fps").alias("b")), "j")
+    side = lambda tile, x: tiles.select(F.col("tile").alias(tile), F.col("fps").alias(x), F.col("nodes").alias(f"nodes_{x}"))
+    pairs = near.join(side("i", "a"), "i").join(side("j", "b"), "j")
     # a pair of tiles is much work and few bytes, so pairs are dealt out evenly
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.repartition(max(partitions, 3 * TILES), "i", "j")
@@ -243,10 +247,10 @@ def edges(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, exact: in
                 b = None if i == j else np.frombuffer(batch["b"][r].as_buffer(), np.uint64).reshape(-1, words)
                 u, v = links(a, b, radius, exact)
                 if len(u):
-                    both = a if b is None else np.concatenate([a, b])
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in both[k]], pa.binary()) for k in (u, v)], ["u", "v"])
+                    nodes = np.concatenate([np.frombuffer(batch[x][r].as_buffer(), np.int64) for x in ("nodes_a", "nodes_b")[: 1 if b is None else 2]])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[k]) for k in (u, v)], ["u", "v"])
 
-    return pairs.select("i", "j", "a", "b").mapInArrow(run, "u binary, v binary")
+    return pairs.select("i", "j", "a", "b", "nodes_a", "nodes_b").mapInArrow(run, "u long, v long")
 
 
 # --- components ---
@@ -280,9 +284,10 @@ def components(e: DataFrame) -> DataFrame:
 def classes(df: DataFrame, words: int = WORDS, radius: int = RADIUS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None, repeats: bool = True) -> DataFrame:
     """doc_id, fp, component_id of every document."""
     prints = cut(fingerprints(df, words, bits, id_col, text_col, repeats))
-    by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    tied = components(edges(by_print.select("fp"), radius, bits, exact)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = by_print.join(tied, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # links name fingerprints by number, written with them once: the rounds of stars then move 16 bytes a link at any width
+    by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    tied = components(edges(by_print.select("node", "fp"), radius, bits, exact)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rooted = by_print.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
