@@ -4,8 +4,16 @@ Trees are grown on a bounded sample (SAMPLE rows or about so): a node's directio
 random points of it and its threshold is the median, so that dense regions get as many leaves
 as they have points. Leaves shrink with the table up to the sample's resolution. Every vector is
 put into one leaf of each tree. A query walks all trees with one priority queue, taking the branch
-of the least regret next, until its leaves hold SEARCH candidates. Each leaf's queries meet its
-vectors in one task, which hands on the best of each query by exact cosine in double precision.
+of the least regret next, until its leaves hold SEARCH candidates or the share of the table that the
+measured recall asks for, whichever is more. Each leaf's queries meet its vectors in one task, which
+hands on the best of each query by exact cosine in double precision.
+
+Recall is measured on each table: HELD_OUT of its queries are compared with every row, which is linear,
+and the share is the least at which their walks meet AIM of the true neighbours. Where that would be a
+whole table's worth of candidates, all leaves of a single tree are read instead, and the result is exact.
+
+The best of the sample are candidates of each query, too, and a leaf hands on only what is no worse than
+all of them: nothing else can be in the result.
 
 Equal vectors are one query, and a task passes on only the least ids among equal vectors, as many
 as can appear in a result: that loses nothing, since ties go to the smaller id, and keeps a very
@@ -30,6 +38,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import small_batches
 
 TREES, SAMPLE, LEAF, SEARCH, SPLIT_LEAST = 3, 20_000, 192, 6_000, 8
+#: Queries that recall is measured on, and the recall wanted of them: 3 deviations of their mean above 0.9.
+HELD_OUT, AIM = 256, 0.95
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -104,6 +114,16 @@ class Forest:
             held += tree.shares[-node - 1]
         return out
 
+    def needed(self, q: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The share that `search` is to be given for q to meet each of the vectors found."""
+        at, shares, held = [t.leaves(found) for t in self.trees], np.full(len(found), np.inf), 0.0
+        for t, leaf in self.search(q, np.inf):
+            held += self.trees[t].shares[leaf]
+            shares = np.where(np.isinf(shares) & (at[t] == leaf), held, shares)
+            if not np.isinf(shares).any():
+                break
+        return shares
+
 
 def usable(col: Column) -> Column:
     finite = F.forall(col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
@@ -121,6 +141,44 @@ def _keys(x: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x]
 
 
+def _wanted(rows: DataFrame, forest: Forest, k: int, real: type) -> float:
+    """The least share at which held-out queries meet AIM of their true neighbours, which a scan of all rows tells."""
+    held = rows.filter("asks").select("vec_id", "v").orderBy(F.xxhash64(F.lit("held out"), "vec_id"), "vec_id").limit(HELD_OUT).collect()
+    if not held:
+        return 0.0
+    own, q = np.array([r.vec_id for r in held]), unit(np.array([r.v for r in held], real))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best of a task's rows for each query."""
+        best: list[dict[int, tuple[float, bytes]]] = [{} for _ in held]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, ids = _matrix(b["v"]).astype(real), b["vec_id"].to_numpy(zero_copy_only=False)
+            for i, row in enumerate(q @ unit(x).T):
+                some = np.flatnonzero(row >= min((s for s, _ in best[i].values()), default=-2.0)) if len(best[i]) >= k else np.arange(len(row))
+                for j in some[np.lexsort((ids[some], -row[some]))].tolist():
+                    if ids[j] != own[i]:
+                        best[i].setdefault(int(ids[j]), (float(row[j]), x[j].tobytes()))
+                        if len(best[i]) > 2 * k:
+                            break
+                best[i] = dict(sorted(best[i].items(), key=lambda e: (-e[1][0], e[0]))[:k])
+        out = [(i, v, s, x) for i, found in enumerate(best) for v, (s, x) in found.items()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["q", "vec_id", "score", "x"])
+
+    best = rows.select("vec_id", "v").mapInArrow(scan, "q int, vec_id long, score double, x binary").dropDuplicates(["q", "vec_id"])
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k)
+    true: dict[int, list[bytes]] = {}
+    for r in best.select("q", "x").collect():
+        true.setdefault(r.q, []).append(bytes(r.x))
+    needed = [forest.needed(q[i], unit(np.frombuffer(b"".join(found), real).reshape(len(found), -1))) for i, found in true.items()]
+    if not needed:
+        return 0.0
+    shares = np.sort(np.concatenate(needed))
+    return float(shares[int(np.ceil(AIM * len(shares))) - 1])
+
+
 def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, sample: int = SAMPLE, search: int = SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of df for which `queries` (of df's columns) holds."""
     small_batches(df.sparkSession, 4096)
@@ -133,11 +191,18 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
     picked = rows.filter(F.pmod(F.xxhash64(F.lit("forest"), "vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 30)) + 1))
     seen = picked.select("vec_id", "v").limit(2 * sample).collect()
     seen.sort(key=lambda r: (r.vec_id, r.v))
+    real = np.float32 if kind == "float" else np.float64
+    own = list({r.vec_id: r for r in seen}.values())
+    seeds, seed_ids = unit(np.array([r.v for r in own], real)) if own else np.zeros((0, dim)), np.array([r.vec_id for r in own], np.int64)
     points = unit(np.array([r.v for r in seen])) if seen else np.zeros((0, dim))
     points = np.unique(points, axis=0)  # a common vector must not make leaves that hold nothing else
     forest = Forest(points, max(SPLIT_LEAST, round(LEAF * len(points) / max(1, n))), trees)
-    share, most = trees * search / max(1, n) / 3, k + 1
-    real = np.float32 if kind == "float" else np.float64
+    most = k + 1
+    share = trees * search / max(1, n) / 3
+    if share < 1:
+        share = max(share, _wanted(rows, forest, k, real))
+    if share >= 1:
+        forest.trees, share = forest.trees[:1], np.inf  # all leaves of one tree are all rows
 
     def packed(b: pa.RecordBatch) -> np.ndarray:
         return _matrix(b["v"]).astype(real)
@@ -165,6 +230,20 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
                 for t, tree in enumerate(forest.trees):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(tree.leaves(u).astype(np.int32)), pa.array(ids), vectors], ["tree", "leaf", "vec_id", "v"])
 
+    def sown(u: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """Of each query the places and scores of the best of the sample, and the score that a candidate must reach."""
+        for i in range(0, len(u), 256):
+            for q, row in zip(u[i : i + 256], u[i : i + 256] @ seeds.T, strict=True):
+                best = np.argpartition(row, -most)[-most:] if len(row) > most else np.arange(len(row))
+                yield best, (seeds[best] * q).sum(axis=1), float(row[best].min()) if len(best) == most else -2.0
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = packed(b)
+                out = [(key, int(v), float(s)) for key, (best, scores, _) in zip(_keys(x), sown(unit(x)), strict=True) for v, s in zip(seed_ids[best], scores, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.float64()))], ["key", "vec_id", "score"])
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The leaves that each different query vector looks at."""
         done: set[bytes] = set()
@@ -173,12 +252,13 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
                 continue
             x = packed(b)
             out = []
-            for key, r, u in zip(_keys(x), x, unit(x), strict=True):
+            us = unit(x)
+            for key, r, u, (_, _, low) in zip(_keys(x), x, us, sown(us), strict=True):
                 if key not in done:
                     done.add(key)
-                    out += [(t, leaf, key, r.tobytes()) for t, leaf in forest.search(u, share)]
+                    out += [(t, leaf, key, r.tobytes(), low) for t, leaf in forest.search(u, share)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["tree", "leaf", "key", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64()), strict=True)], ["tree", "leaf", "key", "q", "low"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,6 +269,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
         """The best of a leaf's vectors for each of its queries."""
         schema = pa.schema([("key", pa.binary()), ("vec_id", pa.int64()), ("score", pa.float64())])
         asked = dict(zip(left["key"].to_pylist(), left["q"].to_pylist(), strict=True))
+        lows = dict(zip(left["key"].to_pylist(), left["low"].to_pylist(), strict=True))
         if not asked or not right.num_rows:
             return schema.empty_table()
         ids, first = np.unique(right["vec_id"].to_numpy(), return_index=True)
@@ -201,16 +282,17 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
             rough = q[i : i + 256] @ x.T
             for key, u, row in zip(keys[i : i + 256], q[i : i + 256], rough, strict=True):
                 cut_at = np.partition(row, -most)[-most] if len(row) > most else -2.0
-                near = np.flatnonzero(row >= cut_at - 1e-9)
+                near = np.flatnonzero(row >= max(cut_at, lows[key]) - 1e-9)
                 exact = (x[near] * u).sum(axis=1)  # the same sum for equal vectors, wherever they stand
                 order = np.lexsort((ids[near], -exact))[:most]
                 out += [(key, int(ids[near[j]]), float(exact[j])) for j in order]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        return pa.Table.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(schema.types)], schema=schema)
 
     asking = rows.filter("asks").select("vec_id", "v")
     placed = rows.select("vec_id", "v").mapInArrow(place, "tree int, leaf int, vec_id long, v binary")
-    probes = asking.mapInArrow(probe, "tree int, leaf int, key binary, q binary")
+    probes = asking.mapInArrow(probe, "tree int, leaf int, key binary, q binary, low double")
     met = probes.groupBy("tree", "leaf").cogroup(placed.groupBy("tree", "leaf")).applyInArrow(meet, "key binary, vec_id long, score double")
+    met = met.unionByName(asking.mapInArrow(seed, "key binary, vec_id long, score double"))
     best = met.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     by_key = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("n", F.row_number().over(by_key)).filter(F.col("n") <= most).drop("n")

@@ -233,6 +233,21 @@ def test_forest_recall():
     assert hits >= 0.9 * 300
 
 
+def test_search_follows_the_measured_recall(spark):
+    """On a table 60 times larger than the search, of points without clusters, recall is kept though the fixed search loses it."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict[int, set[int]] = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, search=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = neighbours.unit(x)
+    true = {q: set(np.argsort(-(u @ u[q]))[1:6].tolist()) for q in range(0, 6000, 50)}
+    assert sum(len(got[q] & t) for q, t in true.items()) >= 0.9 * 5 * len(true)
+
+
 # --- 7 ---
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
