@@ -15,7 +15,10 @@ components by alternating large and small stars, each round cut by a checkpoint.
 Equal fingerprints are one class before anything is compared; classes, not documents, meet.
 Wide fingerprints estimate a similarity more sharply: their first 128 bits are compared as above within a
 radius that loses next to nothing, and a pair found is a link only if all bits agree within `exact`.
-`keep_first` uses that for a Jaccard similarity of shingle sets, whose cosine is 2 J / (1 + J) for sets of a size.
+`keep_first` uses that for candidates of a Jaccard similarity of shingle sets: the radius lies BEYOND deviations above
+what differs at most between such sets of any sizes. Links are confirmed inside the components of the candidates, by the
+whole sets (as 64-bit hashes): blocks of a component meet in pairs, and in a pair each set is looked up by its
+shingles until all that it holds is joined. A large group of copies is so joined by few sets.
 
 The comparison is quadratic in the number of different fingerprints by nature of the method.
 
@@ -26,8 +29,10 @@ rows are classed alike; an empty table gives no rows; columns other than id and
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +43,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import arrow_map, cut, small_batches, texts
 
 WORDS, RADIUS, BITS = 5, 4, 64
-#: For near duplicates of a Jaccard similarity: all bits, and standard deviations that the first 128 are given beyond the bits expected to differ.
-WIDE, SIMILAR, BEYOND = 1152, 0.8, 2.5
+#: For near duplicates of a Jaccard similarity: all bits, and standard deviations that candidates are given beyond the bits expected to differ.
+WIDE, SIMILAR, BEYOND = 1152, 0.8, 3.5
+#: Sets of a block at most, and their bytes.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Fingerprints of a tile at most and at least, tiles aimed at, and fingerprints of a leaf.
 TILE, TILE_LEAST, TILES, LEAF = 131_072, 2_048, 32, 256
 #: Shingles hashed at a time, and matches held before they are reduced to a forest.
@@ -281,31 +288,127 @@ def components(e: DataFrame) -> DataFrame:
     return e
 
 
-def classes(df: DataFrame, words: int = WORDS, radius: int = RADIUS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None, repeats: bool = True) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
-    prints = cut(fingerprints(df, words, bits, id_col, text_col, repeats))
-    # links name fingerprints by number, written with them once: the rounds of stars then move 16 bytes a link at any width
-    by_print = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    tied = components(edges(by_print.select("node", "fp"), radius, bits, exact)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = by_print.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _numbered(prints: DataFrame, *more) -> DataFrame:
+    """fp, least, node: links name fingerprints by number, written with them once: the rounds of stars then move 16 bytes a link at any width."""
+    return cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *more).withColumn("node", F.monotonically_increasing_id()))
+
+
+def _named(prints: DataFrame, by_print: DataFrame, tied: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id by the components (u, v) of nodes."""
+    rooted = by_print.join(tied.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def classes(df: DataFrame, words: int = WORDS, radius: int = RADIUS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None, repeats: bool = True) -> DataFrame:
+    """doc_id, fp, component_id of every document."""
+    prints = cut(fingerprints(df, words, bits, id_col, text_col, repeats))
+    by_print = _numbered(prints)
+    return _named(prints, by_print, components(edges(by_print.select("node", "fp"), radius, bits, exact)))
+
+
+# --- near duplicates by Jaccard similarity ---
+
+
 def differing(similarity: float) -> float:
     """The share of bits that are expected to differ between sets of a Jaccard similarity."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+@cache
+def most_differing(similarity: float, sizes: int = 40) -> float:
+    """The largest share of bits expected to differ between sets of the similarity or more: small ones, where votes tie, are gone through."""
+    odds = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
+    most = differing(similarity)
+    for common in range(1, sizes + 1):
+        rest = math.floor(common / similarity - common + 1e-9)
+        for a in range(rest + 1):
+            for b in range(min(a, rest - a) + 1):
+                p = 0.0
+                for k, at in enumerate(odds(common)):
+                    x = sum(o for i, o in enumerate(odds(a)) if 2 * (k + i) > common + a)
+                    y = sum(o for i, o in enumerate(odds(b)) if 2 * (k + i) > common + b)
+                    p += at * (x + y - 2 * x * y)
+                most = max(most, p)
+    return most
+
+
+def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the different shingles that a fingerprint is made of."""
+    w = text.encode().lower().split()
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w[i : i + words])) for i in range(n)), np.uint64, n))
+
+
+def joined_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(place, place of the first of its component) of each later set of a component, linked by their Jaccard similarity."""
+    size = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    holders, stops = of[order], np.cumsum(np.bincount(shingle))
+    ends = np.cumsum(size)
+    left, out = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        todo = [first] if left[first] else []
+        left[first] = False
+        while todo and left.any():
+            a = todo.pop()
+            own = shingle[ends[a] - size[a] : ends[a]]
+            if not len(own):
+                continue
+            both = np.bincount(np.concatenate([holders[stops[x - 1] if x else 0 : stops[x]] for x in own.tolist()]), minlength=len(sets))
+            near = np.flatnonzero(left & (both > 0) & (both >= similarity * (size + size[a] - both) - 1e-9))
+            left[near] = False
+            todo += near.tolist()
+            out += [(x, first) for x in near.tolist()]
+    return out
+
+
+def confirmed(docs: DataFrame, by_print: DataFrame, loose: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u, v: links by Jaccard similarity among the nodes of each component u-v of candidates; by_print has the digest of a text of each node."""
+    members = cut(loose.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(loose.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    wanted = members.join(by_print.select("node", "digest"), "node")
+
+    def of(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b["node"], b["root"], pa.array([shingle_set(t, words).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["node", "root", "shingles"])
+
+    found = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text").join(wanted, "digest").dropDuplicates(["node"])
+    sets = cut(arrow_map(found.select("node", "root", "text"), of, "node long, root long, shingles binary"))
+    blocks = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("n"))
+    dealt = sets.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("n") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("n") > 1, F.filter(others, lambda x: x != F.col("own"))).otherwise(others)))
+    pairs = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+
+    def meet(t: pa.Table) -> pa.Table:
+        nodes = t["node"].to_numpy()
+        at = joined_sets([np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()], similarity)
+        return pa.table([pa.array([int(nodes[x[c]]) for x in at], pa.int64()) for c in range(2)], names=["u", "v"])
+
+    return pairs.groupBy("root", "i", "j").applyInArrow(meet, "u long, v long")
+
+
 def keep_first(df: DataFrame, words: int = WORDS, similarity: float = SIMILAR, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each component, that of the least id, with all their columns; of rows that repeat its id, one.
 
-    Links are between texts whose shingle sets have the Jaccard similarity or more, as estimated from all bits.
+    Links are between texts whose shingle sets have the Jaccard similarity or more; SimHash gives the candidates.
     Rows without an id stay, since nothing tells which of them to keep."""
-    p = differing(similarity)
-    radius = math.floor(128 * p + BEYOND * math.sqrt(128 * p * (1 - p)))
-    found = classes(df, words, radius, bits, id_col, text_col, exact=math.floor(bits * p), repeats=False)
+    small_batches(df.sparkSession)
+    p = most_differing(similarity)
+    radius, exact = (math.floor(n * p + BEYOND * math.sqrt(n * p * (1 - p))) for n in (128, bits))
+    docs = texts(df, id_col, text_col)
+
+    def of(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = b["text"].to_pylist()
+        columns = [[fingerprint(t, words, bits, False) for t in found], [hashlib.md5(t.encode()).digest() for t in found]]
+        return pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "fp", "digest"])
+
+    prints = cut(arrow_map(docs, of, "doc_id long, fp binary, digest binary"))
+    by_print = _numbered(prints, F.min("digest").alias("digest"))
+    loose = components(edges(by_print.select("node", "fp"), radius, bits, exact))
+    found = _named(prints, by_print, components(confirmed(docs, by_print, loose, words, similarity)))
     kept = cut(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
     key = "__kept_id"
     kept = kept.withColumnRenamed("doc_id", key).withColumnRenamed("n", "__n")

@@ -414,6 +414,42 @@ def test_wide_fingerprints_tell_similarity():
         assert abs(apart / simhash.WIDE - simhash.differing(j)) < 0.05
 
 
+def test_near_duplicates_are_those_of_jaccard(spark, monkeypatch):
+    """Pairs on both sides of 0.8, most of them close to it, long and short, are told apart by their sets; blocks don't change that."""
+    rng = np.random.default_rng(9)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    rows, gone, k = [], set(), 0
+    for n, cuts in [(9, (1,)), (10, (1, 2)), (11, (1, 2)), (104, (18, 20, 21, 22)), (304, (50, 60, 61, 66))]:
+        for c in cuts:
+            for _ in range(12):
+                w = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+                a, b = shingles(w), shingles(w[: n - c])
+                rows += [(k, " ".join(w)), (k + 1, " ".join(w[: n - c]))]
+                gone |= {k + 1} if len(a & b) / len(a | b) >= 0.8 else set()
+                k += 2
+    w = [f"v{x}" for x in range(200)]
+    rows += [(k + i, " ".join([*w, f"end{i}"])) for i in range(60)]  # one large group
+    gone |= set(range(k + 1, k + 60))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first(df).collect()} == {i for i, _ in rows} - gone
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    assert {r.doc_id for r in simhash.keep_first(df).collect()} == {i for i, _ in rows} - gone
+
+
+def test_near_duplicates_of_documents(spark):
+    """All pairs of the documents by exact Jaccard; an estimate from bits drops 185 (0.797 to 106) and keeps 177 (0.830 to 1)."""
+    docs = table(spark, "documents")
+    words = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    least = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                old, new = max(least[a], least[b]), min(least[a], least[b])
+                least = {i: new if x == old else x for i, x in least.items()}
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {i for i, x in least.items() if i == x}
+
+
 # --- 10 ---
 
 
