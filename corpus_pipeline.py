@@ -6,8 +6,8 @@ and read again. All but the last return the columns of documents; n_chars follow
 1. language: documents in which no language is told (no letter, or a text that isn't short has a score under LEAST_SCORE) go.
 2. near_duplicates: of each group of near copies the document of the least id stays.
 3. personal_data: entities are replaced by their kind, terms that disclose them generalised or removed.
-4. mixing: poor and toxic documents are thinned out to the token shares of TARGETS. The domain that is rarest for its
-   target keeps all it has, so that nothing is repeated and, as long as good text is short, none of it goes.
+4. mixing: poor and toxic documents are thinned out to the token shares of TARGETS beside the good ones, which all stay.
+   Where they are scarcer than that they stay as they are; nothing is repeated.
 5. tokens: ids of every whole text with the byte span of each in it.
 """
 

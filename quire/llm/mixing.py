@@ -150,14 +150,20 @@ def _regression(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return w, c
 
 
-def _rate(start: Column, steps: list[list[float]], p: Column) -> Column:
-    """The rate after gradient steps; each has a number for every domain."""
+def _rate(start: Column, steps: list[list[float]], p: Column, keep: int | None = None) -> Column:
+    """The rate after gradient steps; each has a number for every domain.
+
+    With the place of a domain to keep, no rate exceeds 1 and documents that are most likely of it have 1."""
     if not steps:
         return start
     n = len(steps[0])
     flat = literal([x for step in steps for x in step], "double")
     moved = lambda r, k: r - sum((F.element_at(p, d + 1) * F.element_at(flat, k * n + d + 1) for d in range(n)), F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, lambda r, k: F.greatest(F.lit(0.0), moved(r, k)))
+    within = lambda r: F.greatest(F.lit(0.0), r)
+    if keep is not None:
+        least = F.when(F.element_at(p, keep + 1) >= F.array_max(p), F.lit(1.0)).otherwise(F.lit(0.0))
+        within = lambda r: F.greatest(least, F.least(F.lit(1.0), r))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, lambda r, k: within(moved(r, k)))
 
 
 @dataclass
@@ -169,16 +175,18 @@ class Mix:
     steps: list[list[float]]
     tokens: list[float]  # expected tokens of each domain at these rates
     wanted: list[float]
+    keep: int | None = None  # place of the domain whose documents all stay
 
     def rate(self, p: Column) -> Column:
-        return _rate(F.lit(1.0), self.steps, p)
+        return _rate(F.lit(1.0), self.steps, p, self.keep)
 
 
 def solve(classifier: Classifier, table: DataFrame, targets: dict[str, float], budget: float | None = None) -> Mix:
     """Fits the rates of a table with n_tokens and the array p of posteriors.
 
-    budget: the tokens wanted in all; None: as many as there are; 0: as many as leave the domain that is rarest
-    for its target as it is and take from all others, so that nothing is repeated."""
+    budget: the tokens wanted in all; None: as many as there are; 0: as many as the domain of the largest target
+    allows, whose documents all stay: others are thinned out to their targets beside it or, where they are scarcer
+    than that, stay as they are; nothing is repeated."""
     domains = classifier.domains
     wanted = [max(0.0, targets.get(d, 0.0)) for d in domains]
     if not sum(wanted):
@@ -194,8 +202,9 @@ def solve(classifier: Classifier, table: DataFrame, targets: dict[str, float], b
     total = sum(size)
     if not total:
         return Mix(classifier, wanted, [], size, size)
-    whole = total if budget is None else budget or min(s / w for s, w in zip(size, wanted, strict=True) if w)
-    goal, now = [w * whole for w in wanted], size
+    keep = wanted.index(max(wanted)) if budget == 0 else None
+    whole = size[keep] / wanted[keep] if keep is not None else total if budget is None else budget
+    goal, now = [w * whole if keep is None else min(s, w * whole) for s, w in zip(size, wanted, strict=True)], size
     steps: list[list[float]] = []
     start, done = F.lit(1.0), 0
     for _ in range(STEPS):
@@ -205,10 +214,10 @@ def solve(classifier: Classifier, table: DataFrame, targets: dict[str, float], b
         # Weighted by 1 / size the least-squares Hessian has no eigenvalue above 1, so that a step of 1 is safe.
         steps.append([a / s if s else 0.0 for a, s in zip(apart, size, strict=True)])
         if len(steps) - done == DEEP:  # expressions stay of bounded depth
-            table = cut(table.withColumn("r", _rate(start, steps[done:], F.col("p"))))
+            table = cut(table.withColumn("r", _rate(start, steps[done:], F.col("p"), keep)))
             start, done = F.col("r"), len(steps)
-        now = sums(_rate(start, steps[done:], F.col("p")))
-    return Mix(classifier, wanted, steps, now, goal)
+        now = sums(_rate(start, steps[done:], F.col("p"), keep))
+    return Mix(classifier, wanted, steps, now, goal, keep)
 
 
 def drawn(rate: Column, key: Column) -> Column:

@@ -487,3 +487,22 @@ def test_op10_cases(spark, awkward, empty, clashing):
     a, b = (as_set(mixing.mix(d, few, registry.TARGETS)[0]) for d in (awkward, clashing))
     assert a == b and len(a) == awkward.count()
     assert mixing.sampled(clashing, few, registry.TARGETS).columns == clashing.columns
+
+
+DOMAINS = ["good", "poor", "toxic"]
+
+
+def posteriors(spark, sizes):
+    """Documents of ten tokens, so many of each domain, with posteriors that tell it."""
+    of = {"good": [0.96, 0.03, 0.01], "poor": [0.04, 0.94, 0.02], "toxic": [0.02, 0.03, 0.95]}
+    names = [d for d in DOMAINS for _ in range(sizes[d])]
+    return spark.createDataFrame([(i, d, 10, of[d]) for i, d in enumerate(names)], "doc_id long, domain string, n_tokens long, p array<double>")
+
+
+@pytest.mark.parametrize("good, poor, toxic", [(9700, 250, 50), (2000, 7000, 1000)])
+def test_good_documents_stay_however_scarce_others_are(spark, good, poor, toxic):
+    table = posteriors(spark, {"good": good, "poor": poor, "toxic": toxic})
+    found = mixing.solve(mixing.Classifier(DOMAINS), table, registry.TARGETS, budget=0)
+    rows = table.select("domain", "doc_id", found.rate(table.p).alias("rate")).collect()
+    assert {r.rate for r in rows if r.domain == "good"} == {1.0}
+    assert all(0 <= r.rate <= 1 for r in rows) and (poor < good or sum(r.rate for r in rows if r.domain != "good") < 0.2 * good)
