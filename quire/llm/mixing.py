@@ -32,8 +32,8 @@ from quire.llm.common import cut, literal
 BUCKETS, PER_DOMAIN, CHOSEN, LEAST = 1 << 15, 2_000, 512, 10
 FIT_STEPS, FIT_RATE, DECAY = 300, 0.05, 1e-3
 STEPS, GOOD_ENOUGH, DEEP, GRID = 40, 5e-4, 8, 1000
-#: A rate this near a whole number is taken as it.
-WHOLE = 0.05
+#: A rate this near a whole number is taken as it: no more than sums of doubles err by.
+WHOLE = 1e-9
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:

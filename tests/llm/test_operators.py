@@ -506,3 +506,20 @@ def test_good_documents_stay_however_scarce_others_are(spark, good, poor, toxic)
     rows = table.select("domain", "doc_id", found.rate(table.p).alias("rate")).collect()
     assert {r.rate for r in rows if r.domain == "good"} == {1.0}
     assert all(0 <= r.rate <= 1 for r in rows) and (poor < good or sum(r.rate for r in rows if r.domain != "good") < 0.2 * good)
+
+
+def test_copies_have_the_tokens_of_the_targets(spark):
+    """Tokens of the copies, not rates alone: scarce rates are drawn, not dropped, and those near 1 aren't rounded."""
+    from pyspark.sql import functions as F
+
+    table = posteriors(spark, {"good": 20_000, "poor": 70_000, "toxic": 30_000}).repartition(8)
+    for budget in (0, 0.86 * 20_000 * 10):
+        found = mixing.solve(mixing.Classifier(DOMAINS), table, registry.TARGETS, budget=budget)
+        copies = table.withColumn("rate", found.rate(table.p)).withColumn("copies", mixing.drawn(F.col("rate"), F.col("doc_id")))
+        sums = copies.groupBy("domain").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("got"), F.sum(F.col("n_tokens") * F.col("rate")).alias("due"), F.sum(F.expr("n_tokens * n_tokens * (rate % 1) * (1 - rate % 1)")).alias("spread")).collect()
+        assert all(abs(r.got - r.due) <= 5 * r.spread**0.5 + 1e-6 for r in sums), sums
+    rows = spark.range(100_000)
+    for rate in (0.004, 0.03, 0.97, 1.04, 1.5):
+        got = rows.agg(F.sum(mixing.drawn(F.lit(rate), F.col("id")))).first()[0]
+        assert abs(got - rate * 100_000) <= 5 * (100_000 * (rate % 1) * (1 - rate % 1)) ** 0.5
+    assert rows.filter(mixing.drawn(F.lit(1 - 1e-12), F.col("id")) != 1).count() == 0
