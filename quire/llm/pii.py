@@ -4,13 +4,15 @@ Base entities (emails, IP addresses, cards, phones) are found in whole texts, in
 in their length. Terms that disclose them are learnt from the whole corpus: with c a kind of
 entity and t a word, p(c|t) is the share of t's occurrences that stand within WINDOW words of
 an entity of kind c, and the disclosure of c by t is PMI(c;t) / IC(c) = 1 + ln p(c|t) / -ln p(c).
-A word that was seen near SUPPORT different values or more and whose disclosure reaches
+A single entity (a value of a kind) is judged likewise, with its own share of the words.
+A word that stands near them in SUPPORT different texts or more and whose disclosure reaches
 GENERALISE is generalised to a placeholder, from REMOVE on it is removed; both only in
-documents that hold an entity of that kind, so that documents without one stay as they are.
+documents that hold an entity of that kind, or that entity, so that documents without stay as they are.
 
-Different values are counted, not documents, so that copies of one document prove nothing.
+Different texts are counted, each once for each value in it, so that exact copies of one document
+prove nothing; near copies count. How many values a word stands near doesn't matter.
 Two small tables are read by the driver and sent to the executors, the words near enough
-different values and those of them that disclose: both only up to TERMS rows, which is
+different texts and those of them that disclose: both only up to TERMS rows, which is
 checked; beyond that, joins on the word do the same.
 
 Cases: null and empty texts have no spans; repeated rows and ids give repeated rows; an empty
@@ -94,20 +96,27 @@ def words(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> tuple[dict[tuple[int, str], set[str]], Counter]:
-    """Of each (kind, word near an entity of it): the values it stands near, and how many occurrences do.
+def hashed(x: str) -> int:
+    return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
 
-    An occurrence counts once a kind, however many entities it stands near."""
+
+def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> tuple[dict[tuple[int, str], Counter], Counter]:
+    """Of each (kind, word near an entity of it): how many occurrences stand near each value, and how many near any.
+
+    An occurrence counts once a kind and once a value, however many entities it stands near."""
     found = words(text, spans)
     starts = [w[0] for w in found]
-    values: dict[tuple[int, str], set[str]] = {}
+    values: dict[tuple[int, str], Counter] = {}
     seen: set[tuple[int, int]] = set()
+    near: set[tuple[int, str, int]] = set()
     times: Counter = Counter()
     for kind, s, e in spans:
         value, at = text[s:e].lower(), bisect_left(starts, s)
         for i in range(max(0, at - window), min(len(found), at + window)):
             key = (kind, found[i][2])
-            values.setdefault(key, set()).add(value)
+            if (kind, value, i) not in near:
+                near.add((kind, value, i))
+                values.setdefault(key, Counter())[value] += 1
             if (kind, i) not in seen:
                 seen.add((kind, i))
                 times[key] += 1
@@ -115,15 +124,14 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> tuple
 
 
 def _near(docs: DataFrame, window: int) -> DataFrame:
-    """kind, term, value (a hash), n: occurrences near an entity, pre-summed in each task."""
+    """kind, term, value and text (hashes), n and n_value: occurrences near an entity of the kind (at one of a text's values) and near the value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            keys = list(held)
-            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))]
-            batch = pa.RecordBatch.from_arrays([*columns, pa.array(held.values(), pa.int64())], ["kind", "term", "value", "n"])
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], t) for i, t in enumerate(kinds)], ["kind", "term", "value", "text", "n", "n_value"])
             held.clear()
             return batch
 
@@ -131,18 +139,18 @@ def _near(docs: DataFrame, window: int) -> DataFrame:
             for text in b["text"].to_pylist():
                 if spans := base_spans(text):
                     values, times = contexts(text, spans, window)
+                    own, number = hashed(text), {v: hashed(v) for seen in values.values() for v in seen}
                     for key, seen in values.items():
                         left = times[key]
                         for v in sorted(seen):
-                            h = int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True)
-                            held[(*key, h)] += left
+                            held.append((*key, number[v], own, left, seen[v]))
                             left = 0
                 if len(held) > HELD:
                     yield out()
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "kind int, term string, value long, n long")
+    return docs.select("text").mapInArrow(run, "kind int, term string, value long, text long, n long, n_value long")
 
 
 def _counts(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
@@ -170,28 +178,35 @@ def _counts(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, most: int = TERMS) -> DataFrame:
-    """kind, term, disclosure of the words whose disclosure reaches the threshold, from a corpus of doc_id, text."""
-    by_value = _near(docs, window).groupBy("kind", "term", "value").agg(F.sum("n").alias("n"))
-    near = cut(by_value.groupBy("kind", "term").agg(F.sum("n").alias("n_near"), F.count("*").alias("n_values")))
-    in_kind = near.groupBy("kind").agg(F.sum("n_near").alias("n_kind"))  # 4 rows at most
-    often = near.filter(F.col("n_values") >= support)
-    wanted = often.select("term").distinct().limit(most + 1).collect()
+    """kind, term, value, disclosure of the words whose disclosure reaches the threshold, of a kind (value is null) or of one of its values."""
+    by_text = _near(docs, window).groupBy("kind", "term", "value", "text").agg(F.sum("n").alias("n"), F.sum("n_value").alias("n_value"))
+    by_value = cut(by_text.groupBy("kind", "term", "value").agg(F.sum("n").alias("n"), F.sum("n_value").alias("n_value"), F.count("*").alias("n_texts")))
+    near = by_value.groupBy("kind", "term").agg(F.sum("n").alias("n_near"), F.sum("n_texts").alias("n_texts"))
+    in_kind = by_value.groupBy("kind").agg(F.sum("n").alias("n_all_near"))  # 4 rows at most
+    in_value = by_value.groupBy("kind", "value").agg(F.sum("n_value").alias("n_all_near"))
+    often = cut(near.filter(F.col("n_texts") >= support).withColumn("value", F.lit(None).cast("long")))
+    single = by_value.filter(F.col("n_texts") >= support).select("kind", "term", "value", F.col("n_value").alias("n_near"))
+    wanted = often.select("term").distinct().limit(most + 1).collect()  # a word often near a value is often near its kind
     counts = cut(_counts(docs, {r.term for r in wanted} if len(wanted) <= most else None))
     total = counts.filter(F.col("term").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))  # one row
     p = F.least(F.lit(1.0), F.col("n_near") / F.col("n"))
-    ic = -F.ln(F.col("n_kind") / F.col("n_all"))
+    ic = -F.ln(F.col("n_all_near") / F.col("n_all"))
+    columns = ["kind", "term", "value", "n_near", "n_all_near"]
+    judged = often.join(F.broadcast(in_kind), "kind").select(columns).unionByName(single.join(in_value, ["kind", "value"]).select(columns))
     return (
-        often.join(counts, "term").join(F.broadcast(in_kind), "kind").join(F.broadcast(total))
-        .filter((F.col("n_kind") < F.col("n_all")) & (F.col("n") > 0))
-        .select("kind", "term", (1 + F.ln(p) / ic).alias("disclosure")).filter(F.col("disclosure") >= generalise)
+        judged.join(counts, "term").join(F.broadcast(total))
+        .filter((F.col("n_all_near") < F.col("n_all")) & (F.col("n") > 0))
+        .select("kind", "term", "value", (1 + F.ln(p) / ic).alias("disclosure")).filter(F.col("disclosure") >= generalise)
     )
 
 
-def _term_spans(text: str, spans: list[tuple[int, int, int]], told: dict[str, list[tuple[int, float]]]) -> list[tuple[int, int, float]]:
-    """(start, end, disclosure) of words that disclose a kind that the text holds."""
-    kinds, out = {k for k, _, _ in spans}, []
+def _term_spans(text: str, spans: list[tuple[int, int, int]], told: dict[str, list[tuple[int, int | None, float]]]) -> list[tuple[int, int, float]]:
+    """(start, end, disclosure) of words that disclose a kind or an entity that the text holds."""
+    here, out = {(k, None) for k, _, _ in spans}, []
+    if told:
+        here |= {(k, hashed(text[s:e].lower())) for k, s, e in spans}
     for s, e, w in words(text, spans) if spans and told else ():
-        if (d := max((d for k, d in told.get(w, ()) if k in kinds), default=None)) is not None:
+        if (d := max((d for k, v, d in told.get(w, ()) if (k, v) in here), default=None)) is not None:
             out.append((s, e, d))
     return out
 
@@ -201,9 +216,9 @@ def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame
     terms = cut(terms)
     found = terms.limit(most + 1).collect()
     if len(found) <= most:
-        told: dict[str, list[tuple[int, float]]] = {}
-        for r in sorted(found):
-            told.setdefault(r.term, []).append((r.kind, r.disclosure))
+        told: dict[str, list[tuple[int, int | None, float]]] = {}
+        for r in found:
+            told.setdefault(r.term, []).append((r.kind, r.value, r.disclosure))
         return docs, told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +227,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "term"])
 
-    in_docs = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, term string").join(terms, "term").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("term", "kind", "disclosure")).alias("told"))
+    in_docs = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, term string").join(terms, "term").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("term", "kind", "value", "disclosure")).alias("told"))
     return docs.join(in_docs, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id"), None
 
 
@@ -280,8 +295,8 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", remo
     return arrow_map(rows, of, df.schema)
 
 
-def _known(told: list[dict] | None) -> dict[str, list[tuple[int, float]]]:
-    known: dict[str, list[tuple[int, float]]] = {}
+def _known(told: list[dict] | None) -> dict[str, list[tuple[int, int | None, float]]]:
+    known: dict[str, list[tuple[int, int | None, float]]] = {}
     for x in told or ():
-        known.setdefault(x["term"], []).append((x["kind"], x["disclosure"]))
+        known.setdefault(x["term"], []).append((x["kind"], x["value"], x["disclosure"]))
     return known

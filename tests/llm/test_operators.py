@@ -296,6 +296,24 @@ def test_terms_that_disclose_are_treated(spark):
     assert joined == clean
 
 
+def test_a_name_by_one_entity_is_treated(spark):
+    """Known by a single address in different texts a name goes, exact copies prove nothing; a word shared with other kinds goes by that address alone."""
+    rows = [(i, f"note {chr(97 + i % 26) * 3}{chr(97 + i // 26) * 2} from zebulon one@example.org was read") for i in range(60)]
+    rows += [(100 + i, "only quillfeather two@example.org wrote this") for i in range(60)]
+    filler = " ".join("many words that stand far from any of them and say nothing at all".split() * 3)
+    rows += [(200 + i, f"{filler} {i}") for i in range(200)]
+    rows += [(500 + i, f"{chr(97 + i) * 4} ipword {filler} 10.0.0.1 {'gloria ' if i < 18 else ''}end") for i in range(20)]
+    rows += [(600 + i, f"gloria {filler} {chr(97 + i) * 5}") for i in range(9)] + [(700, f"gloria {filler} 10.9.9.9")]
+    rows += [(800 + i, f"{chr(97 + i % 26) * 6} end now 10.1.{i}.1 is up {filler}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("zebulon" not in clean[i] for i in range(60)) and all("quillfeather" in clean[100 + i] for i in range(60))
+    told = {(r.term, r.kind): r for r in pii.disclosing(df, generalise=0.0).collect() if r.value is not None}
+    whole = {(r.term, r.kind): r for r in pii.disclosing(df, generalise=0.0).collect() if r.value is None}
+    assert told["gloria", 1].value == pii.hashed("10.0.0.1") and told["gloria", 1].disclosure > whole["gloria", 1].disclosure
+    assert {r.doc_id: r.text for r in pii.sanitise(df, most=0).collect()} == clean
+
+
 # --- 8 ---
 
 
