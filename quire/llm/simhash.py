@@ -297,15 +297,15 @@ def _named(prints: DataFrame, by_print: DataFrame, tied: DataFrame) -> DataFrame
     """doc_id, fp, component_id by the components (u, v) of nodes."""
     rooted = by_print.join(tied.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(ids, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(rooted.join(ids, "root").select("fp", "root", "component_id"))
+    return prints.join(named, "fp")
 
 
 def classes(df: DataFrame, words: int = WORDS, radius: int = RADIUS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None, repeats: bool = True) -> DataFrame:
     """doc_id, fp, component_id of every document."""
     prints = cut(fingerprints(df, words, bits, id_col, text_col, repeats))
     by_print = _numbered(prints)
-    return _named(prints, by_print, components(edges(by_print.select("node", "fp"), radius, bits, exact)))
+    return _named(prints, by_print, components(edges(by_print.select("node", "fp"), radius, bits, exact))).select("doc_id", "fp", "component_id")
 
 
 # --- near duplicates by Jaccard similarity ---
@@ -391,7 +391,7 @@ def confirmed(docs: DataFrame, by_print: DataFrame, loose: DataFrame, words: int
 
 
 def keep_first(df: DataFrame, words: int = WORDS, similarity: float = SIMILAR, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each component, that of the least id, with all their columns; of rows that repeat its id, one.
+    """The rows of one document of each component, that of the least id, with all their columns; of rows of a component that repeat its id, one.
 
     Links are between texts whose shingle sets have the Jaccard similarity or more; SimHash gives the candidates.
     Rows without an id stay, since nothing tells which of them to keep."""
@@ -409,10 +409,11 @@ def keep_first(df: DataFrame, words: int = WORDS, similarity: float = SIMILAR, b
     by_print = _numbered(prints, F.min("digest").alias("digest"))
     loose = components(edges(by_print.select("node", "fp"), radius, bits, exact))
     found = _named(prints, by_print, components(confirmed(docs, by_print, loose, words, similarity)))
-    kept = cut(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
-    key = "__kept_id"
-    kept = kept.withColumnRenamed("doc_id", key).withColumnRenamed("n", "__n")
-    rows = df.join(kept, df[id_col].cast("long") == kept[key]).drop(key)
-    once = rows.filter("__n = 1").drop("__n")
-    again = rows.filter("__n > 1").drop("__n").dropDuplicates([id_col])
+    # an id may stand for different texts, so that rows are known by the digests of their texts as well
+    heads = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("digest").alias("__digest"), F.count("*").alias("n"))
+    kept = cut(heads.groupBy(F.col("doc_id").alias("__kept_id"), "__digest").agg(F.sum("n").alias("__n")))
+    keyed = df.withColumn("__own", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
+    rows = keyed.join(kept, (keyed[id_col].cast("long") == kept["__kept_id"]) & (keyed["__own"] == kept["__digest"])).drop("__kept_id", "__digest")
+    once = rows.filter("__n = 1").drop("__n", "__own")
+    again = rows.filter("__n > 1").dropDuplicates([id_col, "__own"]).drop("__n", "__own")
     return once.unionByName(again).unionByName(df.filter(F.col(id_col).isNull()))

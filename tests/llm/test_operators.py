@@ -468,6 +468,15 @@ def test_near_duplicates_of_documents(spark):
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {i for i, x in least.items() if i == x}
 
 
+def test_rows_that_share_an_id_are_known_by_their_texts(spark):
+    """Two texts of one id in components of their own both stay; one that is a copy of a lesser id's goes, though the other stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a), (5, b), (1, c), (7, c), (7, d), (9, a), (5, f"{a} end"), (1, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text[0]) for r in simhash.keep_first(df).collect())
+    assert got == [(1, "c"), (5, "a"), (5, "b"), (7, "d")]
+
+
 # --- 10 ---
 
 
