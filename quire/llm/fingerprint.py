@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, literal, small_batches, texts
+from quire.llm.common import arrow_map, literal, pieces, texts
 
 SAMPLES, BUCKETS = 64, 1 << 15
 #: (word, weight) pairs whose samples a worker remembers.
@@ -112,7 +112,6 @@ def written(signature: np.ndarray) -> str:
 
 def fingerprints(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint of every whole text; no exchange."""
-    small_batches(df.sparkSession)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
         s = sampler(samples)
@@ -166,7 +165,6 @@ def _ranges(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
 def with_next(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """WITH_NEXT's columns: fingerprints of each text and of its edited one, and how near they and the next document's are."""
     spark = df.sparkSession
-    small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt, _ = _ranges(texts(df, id_col, text_col), 4 * partitions)
     dealt = dealt.repartition(partitions, "part").sortWithinPartitions("part", "extra", F.desc_nulls_last("doc_id"), "text")
@@ -174,7 +172,7 @@ def with_next(df: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, waiting, part = sampler(samples), None, None
         names = [x.split()[0] for x in WITH_NEXT.split(", ")]
-        for b in batches:
+        for b in pieces(batches):
             rows = [[] for _ in names]
             for doc_id, text, of, extra in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "part", "extra")), strict=True):
                 if of == part and waiting is None:

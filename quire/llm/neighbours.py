@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import pieces
 
 TREES, SAMPLE, LEAF, SEARCH, SPLIT_LEAST = 3, 20_000, 192, 6_000, 8
 #: Queries that recall is measured on, and the recall wanted of them: 3 deviations of their mean above 0.9.
 HELD_OUT, AIM = 256, 0.95
+#: Vectors handled at a time.
+ROWS = 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -151,9 +153,7 @@ def _wanted(rows: DataFrame, forest: Forest, k: int, real: type) -> float:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The k best of a task's rows for each query."""
         best: list[dict[int, tuple[float, bytes]]] = [{} for _ in held]
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches, ROWS):
             x, ids = _matrix(b["v"]).astype(real), b["vec_id"].to_numpy(zero_copy_only=False)
             for i, row in enumerate(q @ unit(x).T):
                 some = np.flatnonzero(row >= min((s for s, _ in best[i].values()), default=-2.0)) if len(best[i]) >= k else np.arange(len(row))
@@ -181,7 +181,6 @@ def _wanted(rows: DataFrame, forest: Forest, k: int, real: type) -> float:
 
 def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, sample: int = SAMPLE, search: int = SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of df for which `queries` (of df's columns) holds."""
-    small_batches(df.sparkSession, 4096)
     kind = "float" if df.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -210,9 +209,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector in its leaf of each tree; of equal ones the least ids that a batch adds."""
         least: dict[bytes, list[int]] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches, ROWS):
             x, ids = packed(b), b["vec_id"].to_numpy(zero_copy_only=False)
             keys, keep = _keys(x), []
             for i in np.argsort(ids, kind="stable").tolist():
@@ -238,18 +235,15 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
                 yield best, (seeds[best] * q).sum(axis=1), float(row[best].min()) if len(best) == most else -2.0
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = packed(b)
-                out = [(key, int(v), float(s)) for key, (best, scores, _) in zip(_keys(x), sown(unit(x)), strict=True) for v, s in zip(seed_ids[best], scores, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.float64()))], ["key", "vec_id", "score"])
+        for b in pieces(batches, ROWS):
+            x = packed(b)
+            out = [(key, int(v), float(s)) for key, (best, scores, _) in zip(_keys(x), sown(unit(x)), strict=True) for v, s in zip(seed_ids[best], scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.float64()))], ["key", "vec_id", "score"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The leaves that each different query vector looks at."""
         done: set[bytes] = set()
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches, ROWS):
             x = packed(b)
             out = []
             us = unit(x)
@@ -261,9 +255,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64()), strict=True)], ["tree", "leaf", "key", "q", "low"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(_keys(packed(b)), pa.binary())], ["query_id", "key"])
+        for b in pieces(batches, ROWS):
+            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(_keys(packed(b)), pa.binary())], ["query_id", "key"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         """The best of a leaf's vectors for each of its queries."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, small_batches, texts
+from quire.llm.common import arrow_map, cut, pieces, spare, texts
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, GENERALISE, REMOVE, TERMS = 12, 5, 0.8, 0.95, 200_000
@@ -135,7 +135,7 @@ def _near(docs: DataFrame, window: int) -> DataFrame:
             held.clear()
             return batch
 
-        for b in batches:
+        for b in pieces(batches):
             for text in b["text"].to_pylist():
                 if spans := base_spans(text):
                     values, times = contexts(text, spans, window)
@@ -164,7 +164,7 @@ def _counts(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
             held.clear()
             return batch
 
-        for b in batches:
+        for b in pieces(batches):
             for text in b["text"].to_pylist():
                 found = [w.lower() for w in _word.findall(text)]
                 total += len(found)
@@ -222,7 +222,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame
         return docs, told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows = [(i, w) for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) if (s := base_spans(t)) for w in {x[2] for x in words(t, s)}]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "term"])
@@ -232,7 +232,6 @@ def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame
 
 
 def _mapped(df: DataFrame, of_text, schema: str, names: list[str], id_col: str, text_col: str, **settings) -> DataFrame:
-    small_batches(df.sparkSession)
     docs = texts(df, id_col, text_col)
     most = settings.pop("most", TERMS)
     docs, told = _with_terms(docs, disclosing(docs, most=most, **settings), most)
@@ -274,13 +273,12 @@ def cleaned(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int,
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, most: int = TERMS, **settings) -> DataFrame:
     """df's rows and columns with cleaned texts; null texts stay null."""
-    small_batches(df.sparkSession)
     docs, told = _with_terms(texts(df, id_col, text_col), disclosing(texts(df, id_col, text_col), most=most, **settings), most)
     rows, own, columns = df, None, df.columns
     if told is None:
-        own = "__told"
-        in_docs = docs.select(F.col("doc_id").alias("__doc_id"), F.col("told").alias(own)).filter(F.col(own).isNotNull()).dropDuplicates(["__doc_id"])
-        rows = df.join(in_docs, df[id_col].cast("long").eqNullSafe(in_docs["__doc_id"]), "left").drop("__doc_id")
+        own, of_id = spare(df, "told"), spare(df, "of_id")
+        in_docs = docs.select(F.col("doc_id").alias(of_id), F.col("told").alias(own)).filter(F.col(own).isNotNull()).dropDuplicates([of_id])
+        rows = df.join(in_docs, df[id_col].cast("long").eqNullSafe(in_docs[of_id]), "left").drop(of_id)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         mine, out = batch[own].to_pylist() if own else [None] * batch.num_rows, []

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import suffix
-from quire.llm.common import BATCH_ROWS, cut, small_batches, texts
+from quire.llm.common import cut, pieces, texts
 
 LENGTH, GRAM = 50, 24
 #: Raw bytes of a chunk about, bytes of text for each shard, and shards at most; a shard larger than memory is sorted on disk.
@@ -285,7 +285,7 @@ def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             lengths = np.array([len(t) for _, t in held], np.int64).tobytes()
             return pa.RecordBatch.from_arrays([pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([lengths], pa.binary()), pa.array([body], pa.binary())], ["ids", "lengths", "body"])
 
-        for b in batches:
+        for b in pieces(batches):
             for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 t = t.encode()
                 if held and size + len(t) > chunk:
@@ -308,14 +308,15 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = C
         raise ValueError("gram must be from 2 to length, and length 127 at most")
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small_batches(spark, BATCH_ROWS)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    adaptive = spark.conf.getAll.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan doesn't tell its partitioning, and the joins need it
     try:
         chunks = cut(chunked(texts(df, id_col, text_col), chunk).repartition(partitions, "chunk"))
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    small_batches(spark, 4)  # chunks and blobs from here on, of some MB each
+        if adaptive is None:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        else:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     size = chunks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, min(SHARDS, 2 * size // shard))
     make = lambda b, r: Chunk(b["ids"][r].as_py(), b["lengths"][r].as_py(), b["body"][r].as_py(), length, gram, shards)

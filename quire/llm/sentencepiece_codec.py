@@ -20,7 +20,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from quire.llm.common import arrow_map, small_batches, texts
+from quire.llm.common import arrow_map, texts
 
 SPACE = "▁"
 #: Chunks whose ids a worker remembers, and the longest chunk it remembers, in characters.
@@ -264,7 +264,6 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text with the byte span of each in the original: doc_id, ids, begins, ends."""
-    small_batches(df.sparkSession)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, rows = codec(model_path), ([], [], [])
@@ -279,7 +278,6 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The library's decoding of each list of ids (null: none): doc_id, text."""
-    small_batches(df.sparkSession)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(model_path)
@@ -290,7 +288,6 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
 
 def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every text and keeps digests only; covered_bytes is where the last span ends."""
-    small_batches(df.sparkSession)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, cols = codec(model_path), [[] for _ in range(5)]

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import pieces
 
 MAGIC = 0x184D2A5D
 REVISIT, SALTS = 1000, 32
@@ -172,7 +172,6 @@ def marked(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload
 
 def write(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """archive, content: each task packs its rows into archives of about ARCHIVE_BYTES of records."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -183,7 +182,7 @@ def write(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], ["archive", "content"])
 
-        for b in batches:
+        for b in pieces(batches):
             for r in b.to_pylist():
                 held.append(record(r["page_id"], r["url"], bytes(r["payload"]), r["kind"], r["refers_to"]))
                 if (size := size + len(held[-1])) >= ARCHIVE_BYTES:
@@ -200,7 +199,6 @@ READ = "archive string, offset long, page_id long, payload_bytes long, payload_d
 
 def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of (archive, content) rows, in READ's columns and, if asked for, the payload (binary; null in revisits)."""
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # an archive at a time
     schema = READ + ", payload binary" * payloads
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(n, types[t]) for n, t in (x.split() for x in schema.split(", "))])
