@@ -8,17 +8,20 @@ Every pair of different fingerprints is compared, in tiles: fingerprints in orde
 population count are packed into tiles of up to TILE, a pair of tiles is skipped if their
 counts differ beyond the radius, and inside a pair leaves of up to LEAF fingerprints are
 skipped likewise by the counts of each quarter; what is left is compared by numpy's exclusive
-or and bit counts. A pair of tiles hands on a spanning forest of its links, never the links,
-so that a large group of copies costs as many rows as it has members. Links are joined into
+or and bit counts. A tile travels once to each tile that it meets. A pair of tiles hands on a
+spanning forest of its links, never the links, so that a large group of copies costs as many
+rows as it has members. Links are joined into
 components by alternating large and small stars, each round cut by a checkpoint.
 
 Equal fingerprints are one class before anything is compared; classes, not documents, meet.
 Wide fingerprints estimate a similarity more sharply: their first 128 bits are compared as above within a
 radius that loses next to nothing, and a pair found is a link only if all bits agree within `exact`.
 `keep_first` uses that for candidates of a Jaccard similarity of shingle sets: the radius lies BEYOND deviations above
-what differs at most between such sets of any sizes. Links are confirmed inside the components of the candidates, by the
-whole sets (as 64-bit hashes): blocks of a component meet in pairs, and in a pair each set is looked up by its
-shingles until all that it holds is joined. A large group of copies is so joined by few sets.
+what differs at most between such sets of any sizes. Sets of that similarity have numbers of shingles as near as that
+to each other, too, so that tiles are cut by them first and tiles of sizes too far apart don't meet. Links are
+confirmed inside the components of the candidates, by the whole sets (as 64-bit hashes): blocks of a component meet
+in pairs, and in a pair each set is looked up by its shingles until all that it holds is joined. A large group of
+copies is so joined by few sets.
 
 The comparison is quadratic in the number of different fingerprints by nature of the method.
 
@@ -40,15 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, cut, small_batches, texts
+from quire.llm.common import arrow_map, cut, spare, texts
 
 WORDS, RADIUS, BITS = 5, 4, 64
 #: For near duplicates of a Jaccard similarity: all bits, and standard deviations that candidates are given beyond the bits expected to differ.
-WIDE, SIMILAR, BEYOND = 1152, 0.8, 3.5
+WIDE, SIMILAR, BEYOND = 256, 0.8, 3.5
 #: Sets of a block at most, and their bytes.
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Fingerprints of a tile at most and at least, tiles aimed at, and fingerprints of a leaf.
-TILE, TILE_LEAST, TILES, LEAF = 131_072, 2_048, 32, 256
+TILE, TILE_LEAST, TILES, LEAF = 262_144, 2_048, 32, 256
 #: Shingles hashed at a time, and matches held before they are reduced to a forest.
 HELD, MATCHES = 1 << 16, 1 << 20
 
@@ -76,9 +79,14 @@ def widened(h: np.ndarray, bits: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int = WORDS, bits: int = BITS, repeats: bool = True) -> bytes:
     """Big-endian bytes: bits 64 takes XXH64 with seed 42, 128 XXH3, multiples of it widen that. Without repeats a shingle counts once."""
+    return sketch(text, words, bits, repeats)[0]
+
+
+def sketch(text: str, words: int = WORDS, bits: int = BITS, repeats: bool = True) -> tuple[bytes, int, bytes]:
+    """The fingerprint, the number of shingles, and the sum of their hashes, which names a set of them."""
     w = text.encode().lower().split()
     if not w:
-        return bytes(bits // 8)
+        return bytes(bits // 8), 0, b""
     joined, n = b" ".join(w), max(1, len(w) - words + 1)
     ends = np.cumsum([len(x) + 1 for x in w])
     starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
@@ -88,19 +96,19 @@ def fingerprint(text: str, words: int = WORDS, bits: int = BITS, repeats: bool =
     if shingles:
         shingles = list(dict.fromkeys(shingles))
         n = len(shingles)
-    total, step = np.zeros(bits, np.int64), max(255, HELD * 64 // bits)
+    total, step, name = np.zeros(bits, np.int64), max(255, HELD * 64 // bits), np.zeros(min(bits, 128) // 64, np.uint64)
     for i in range(0, n, step):
         some = shingles[i : i + step] if shingles else [joined[s:e] for s, e in zip(starts[i : i + step], ends[i : i + step], strict=True)]
         h = np.frombuffer(b"".join(map(digest, some)), np.uint8).reshape(len(some), -1)
         total += bit_sums(h if bits <= 128 else widened(h, bits))
-    return np.packbits(2 * total > n).tobytes()
+        name += h.view(np.uint64).sum(axis=0)
+    return np.packbits(2 * total > n).tobytes(), n, name.tobytes()
 
 
 def fingerprints(df: DataFrame, words: int = WORDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
     """doc_id, fp (binary) of every whole text."""
     if bits != 64 and (bits < 128 or bits % 128):
         raise ValueError("bits must be 64 or a multiple of 128")
-    small_batches(df.sparkSession)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b["doc_id"], pa.array([fingerprint(t, words, bits, repeats) for t in b["text"].to_pylist()], pa.binary())], ["doc_id", "fp"])
@@ -197,33 +205,39 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int, exact: int | None =
     return forest(n, np.concatenate(us), np.concatenate(vs))
 
 
-def _tiles(distinct: DataFrame, n: int, bits: int) -> DataFrame:
-    """tile, low, high (population counts), nodes and fps (packed) of the different fingerprints, in order of their counts."""
-    size = min(TILE * 64 // bits, max(TILE_LEAST, -(-n // TILES)))
+def _tiles(distinct: DataFrame, n: int, bits: int, similarity: float) -> DataFrame:
+    """tile, low, high (population counts), small, large (shingles), nodes and fps (packed) of the different fingerprints.
+
+    Their order is by classes of the number of shingles, such that sets of the similarity are of one class or of neighbours, then by population count."""
+    size = min(TILE, max(TILE_LEAST, -(-n // TILES)))
     words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(nodes: list[int], data: list[bytes]) -> pa.RecordBatch:
+        def out(nodes: list[int], sizes: list[int], data: list[bytes]) -> pa.RecordBatch:
             packed = b"".join(data)
             count = np.bitwise_count(np.frombuffer(packed, np.uint64).reshape(-1, words)[:, :2]).sum(axis=1, dtype=np.int32)
-            columns = [pa.array([int(count.min())], pa.int32()), pa.array([int(count.max())], pa.int32()), pa.array([np.array(nodes, np.int64).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([packed], pa.binary())], ["low", "high", "nodes", "fps"])
+            columns = [*(pa.array([int(x)], pa.int32()) for x in (count.min(), count.max())), *(pa.array([f(sizes)], pa.int64()) for f in (min, max)), pa.array([np.array(nodes, np.int64).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([packed], pa.binary())], ["low", "high", "small", "large", "nodes", "fps"])
 
         nodes: list[int] = []
+        sizes: list[int] = []
         held: list[bytes] = []
         for b in batches:
-            for node, fp in zip(b["node"].to_pylist(), b["fp"].to_pylist(), strict=True):
+            for node, own, fp in zip(b["node"].to_pylist(), b["size"].to_pylist(), b["fp"].to_pylist(), strict=True):
                 nodes.append(node)
+                sizes.append(own)
                 held.append(fp)
                 if len(held) == size:
-                    yield out(nodes, held)
-                    nodes, held = [], []
+                    yield out(nodes, sizes, held)
+                    nodes, sizes, held = [], [], []
         if held:
-            yield out(nodes, held)
+            yield out(nodes, sizes, held)
 
-    counted = distinct.select("node", "fp", count_bits("fp", min(bits, 128)).alias("count"))
-    dealt = counted.repartitionByRange(max(1, -(-n // size)), "count", "fp").sortWithinPartitions("count", "fp")
-    return cut(dealt.select("node", "fp").mapInArrow(run, "low int, high int, nodes binary, fps binary").withColumn("tile", F.monotonically_increasing_id()))
+    kind = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(-math.log(similarity))) if similarity else F.lit(0)
+    order = ["kind", "count", "fp", "node"]
+    counted = distinct.select("node", "size", "fp", kind.cast("int").alias("kind"), count_bits("fp", min(bits, 128)).alias("count"))
+    dealt = counted.repartitionByRange(max(1, -(-n // size)), *order).sortWithinPartitions(*order)
+    return cut(dealt.select("node", "size", "fp").mapInArrow(run, "low int, high int, small long, large long, nodes binary, fps binary").withColumn("tile", F.monotonically_increasing_id()))
 
 
 def count_bits(col: str, bits: int):
@@ -231,33 +245,30 @@ def count_bits(col: str, bits: int):
     return sum(F.bit_count(F.conv(F.hex(F.substring(col, i, 4)), 16, 10).cast("long")) for i in range(1, bits // 8 + 1, 4))
 
 
-def edges(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, exact: int | None = None) -> DataFrame:
-    """u, v (long): links that join the components of the different fingerprints of columns node (a number for each) and fp."""
+def edges(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, exact: int | None = None, similarity: float = 0.0) -> DataFrame:
+    """u, v (long): links that join the components of the different fingerprints of columns node (a number for each), size and fp.
+
+    With a similarity, fingerprints need not meet whose sizes are further apart than that."""
     n = distinct.count()
-    tiles = _tiles(distinct, n, bits)
+    tiles = _tiles(distinct, n, bits, similarity)
     words, bucket = bits // 64, radius + 1
     spans = lambda low, high: F.explode(F.sequence(F.floor(low / bucket).cast("int"), F.floor(high / bucket).cast("int")))
-    a = tiles.select(F.col("tile").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), spans(F.col("low"), F.col("high")).alias("bucket"))
-    b = tiles.select(F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), spans(F.col("low") - radius, F.col("high") + radius).alias("bucket"))
-    near = a.join(b, "bucket").filter((F.col("i") <= F.col("j")) & (F.col("low_i") - F.col("high_j") <= radius) & (F.col("low_j") - F.col("high_i") <= radius)).select("i", "j").distinct()
-    side = lambda tile, x: tiles.select(F.col("tile").alias(tile), F.col("fps").alias(x), F.col("nodes").alias(f"nodes_{x}"))
-    pairs = near.join(side("i", "a"), "i").join(side("j", "b"), "j")
+    side = lambda tile, beyond: tiles.select(*(F.col(c).alias(f"{c}_{tile}") for c in ("tile", "low", "high", "small", "large")), spans(F.col("low") - beyond, F.col("high") + beyond).alias("bucket"))
+    near = side("i", 0).join(side("j", radius), "bucket").filter((F.col("tile_i") <= F.col("tile_j")) & (F.col("low_i") - F.col("high_j") <= radius) & (F.col("low_j") - F.col("high_i") <= radius))
+    least = similarity * (1 - 1e-9)
+    near = near.filter((F.col("large_i") >= F.col("small_j") * least) & (F.col("large_j") >= F.col("small_i") * least)).select(F.col("tile_i").alias("i"), F.col("tile_j").alias("j")).distinct()
+    sent = near.withColumn("tile", F.explode(F.array_distinct(F.array("i", "j")))).join(tiles.select("tile", "nodes", "fps"), "tile")
     # a pair of tiles is much work and few bytes, so pairs are dealt out evenly
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(max(partitions, 3 * TILES), "i", "j")
+    sent = sent.repartition(max(partitions, 3 * TILES), "i", "j")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                i, j = batch["i"][r].as_py(), batch["j"][r].as_py()
-                a = np.frombuffer(batch["a"][r].as_buffer(), np.uint64).reshape(-1, words)
-                b = None if i == j else np.frombuffer(batch["b"][r].as_buffer(), np.uint64).reshape(-1, words)
-                u, v = links(a, b, radius, exact)
-                if len(u):
-                    nodes = np.concatenate([np.frombuffer(batch[x][r].as_buffer(), np.int64) for x in ("nodes_a", "nodes_b")[: 1 if b is None else 2]])
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[k]) for k in (u, v)], ["u", "v"])
+    def meet(t: pa.Table) -> pa.Table:
+        fps = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, words) for x in t["fps"]]
+        u, v = links(fps[0], fps[1] if len(fps) > 1 else None, radius, exact)
+        nodes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["nodes"]])
+        return pa.table([pa.array(nodes[k], pa.int64()) for k in (u, v)], names=["u", "v"])
 
-    return pairs.select("i", "j", "a", "b", "nodes_a", "nodes_b").mapInArrow(run, "u long, v long")
+    return sent.groupBy("i", "j").applyInArrow(meet, "u long, v long")
 
 
 # --- components ---
@@ -288,24 +299,25 @@ def components(e: DataFrame) -> DataFrame:
     return e
 
 
-def _numbered(prints: DataFrame, *more) -> DataFrame:
-    """fp, least, node: links name fingerprints by number, written with them once: the rounds of stars then move 16 bytes a link at any width."""
-    return cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *more).withColumn("node", F.monotonically_increasing_id()))
+def _numbered(prints: DataFrame, by: str, *more) -> DataFrame:
+    """least, node and more of each class `by`: links name classes by number, so that the rounds of stars move 16 bytes a link at any width."""
+    return cut(prints.groupBy(by).agg(F.min("doc_id").alias("least"), *more).withColumn("node", F.monotonically_increasing_id()))
 
 
-def _named(prints: DataFrame, by_print: DataFrame, tied: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id by the components (u, v) of nodes."""
-    rooted = by_print.join(tied.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _named(prints: DataFrame, by: str, classes: DataFrame, tied: DataFrame) -> DataFrame:
+    """prints with root and component_id by the components (u, v) of nodes, which stand for classes `by`."""
+    rooted = classes.join(tied.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(ids, "root").select("fp", "root", "component_id"))
-    return prints.join(named, "fp")
+    named = cut(rooted.join(ids, "root").select(by, "root", "component_id"))
+    return prints.join(named, by)
 
 
 def classes(df: DataFrame, words: int = WORDS, radius: int = RADIUS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None, repeats: bool = True) -> DataFrame:
     """doc_id, fp, component_id of every document."""
     prints = cut(fingerprints(df, words, bits, id_col, text_col, repeats))
-    by_print = _numbered(prints)
-    return _named(prints, by_print, components(edges(by_print.select("node", "fp"), radius, bits, exact))).select("doc_id", "fp", "component_id")
+    by_print = _numbered(prints, "fp")
+    links_found = edges(by_print.select("node", F.lit(0).cast("long").alias("size"), "fp"), radius, bits, exact)
+    return _named(prints, "fp", by_print, components(links_found)).select("doc_id", "fp", "component_id")
 
 
 # --- near duplicates by Jaccard similarity ---
@@ -366,10 +378,10 @@ def joined_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
     return out
 
 
-def confirmed(docs: DataFrame, by_print: DataFrame, loose: DataFrame, words: int, similarity: float) -> DataFrame:
-    """u, v: links by Jaccard similarity among the nodes of each component u-v of candidates; by_print has the digest of a text of each node."""
+def confirmed(docs: DataFrame, classes: DataFrame, loose: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u, v: links by Jaccard similarity among the nodes of each component u-v of candidates; classes has the digest of a text of each node."""
     members = cut(loose.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(loose.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
-    wanted = members.join(by_print.select("node", "digest"), "node")
+    wanted = members.join(classes.select("node", "digest"), "node")
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b["node"], b["root"], pa.array([shingle_set(t, words).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["node", "root", "shingles"])
@@ -387,7 +399,9 @@ def confirmed(docs: DataFrame, by_print: DataFrame, loose: DataFrame, words: int
         at = joined_sets([np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()], similarity)
         return pa.table([pa.array([int(nodes[x[c]]) for x in at], pa.int64()) for c in range(2)], names=["u", "v"])
 
-    return pairs.groupBy("root", "i", "j").applyInArrow(meet, "u long, v long")
+    # dealt by the pair: the join has dealt by root, which would leave all pairs of a large component in one task
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(partitions, "root", "i", "j").groupBy("root", "i", "j").applyInArrow(meet, "u long, v long")
 
 
 def keep_first(df: DataFrame, words: int = WORDS, similarity: float = SIMILAR, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,25 +409,26 @@ def keep_first(df: DataFrame, words: int = WORDS, similarity: float = SIMILAR, b
 
     Links are between texts whose shingle sets have the Jaccard similarity or more; SimHash gives the candidates.
     Rows without an id stay, since nothing tells which of them to keep."""
-    small_batches(df.sparkSession)
     p = most_differing(similarity)
     radius, exact = (math.floor(n * p + BEYOND * math.sqrt(n * p * (1 - p))) for n in (128, bits))
     docs = texts(df, id_col, text_col)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
         found = b["text"].to_pylist()
-        columns = [[fingerprint(t, words, bits, False) for t in found], [hashlib.md5(t.encode()).digest() for t in found]]
-        return pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "fp", "digest"])
-
-    prints = cut(arrow_map(docs, of, "doc_id long, fp binary, digest binary"))
-    by_print = _numbered(prints, F.min("digest").alias("digest"))
-    loose = components(edges(by_print.select("node", "fp"), radius, bits, exact))
-    found = _named(prints, by_print, components(confirmed(docs, by_print, loose, words, similarity)))
+        fps, sizes, names = zip(*(sketch(t, words, bits, False) for t in found), strict=True)
+        digests = [hashlib.md5(t.encode()).digest() for t in found]
+        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (fps, names, digests))], ["doc_id", "size", "fp", "shingles", "digest"])
+
+    prints = cut(arrow_map(docs, of, "doc_id long, size long, fp binary, shingles binary, digest binary"))
+    sets = _numbered(prints, "shingles", *(F.min(c).alias(c) for c in ("size", "fp", "digest")))
+    loose = components(edges(sets.select("node", "size", "fp"), radius, bits, exact, similarity))
+    found = _named(prints, "shingles", sets, components(confirmed(docs, sets, loose, words, similarity)))
     # an id may stand for different texts, so that rows are known by the digests of their texts as well
-    heads = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("digest").alias("__digest"), F.count("*").alias("n"))
-    kept = cut(heads.groupBy(F.col("doc_id").alias("__kept_id"), "__digest").agg(F.sum("n").alias("__n")))
-    keyed = df.withColumn("__own", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
-    rows = keyed.join(kept, (keyed[id_col].cast("long") == kept["__kept_id"]) & (keyed["__own"] == kept["__digest"])).drop("__kept_id", "__digest")
-    once = rows.filter("__n = 1").drop("__n", "__own")
-    again = rows.filter("__n > 1").dropDuplicates([id_col, "__own"]).drop("__n", "__own")
+    kept_id, digest, times, own = (spare(df, x) for x in ("kept_id", "digest", "times", "own"))
+    heads = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "root").agg(F.min("digest").alias(digest), F.count("*").alias("n"))
+    kept = cut(heads.groupBy(F.col("doc_id").alias(kept_id), digest).agg(F.sum("n").alias(times)))
+    keyed = df.withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
+    rows = keyed.join(kept, (keyed[id_col].cast("long") == kept[kept_id]) & (keyed[own] == kept[digest])).drop(kept_id, digest)
+    once = rows.filter(F.col(times) == 1).drop(times, own)
+    again = rows.filter(F.col(times) > 1).dropDuplicates([id_col, own]).drop(times, own)
     return once.unionByName(again).unionByName(df.filter(F.col(id_col).isNull()))

@@ -1,10 +1,9 @@
 """The pipeline against a brute-force version of its decisions."""
 
-import numpy as np
 from helpers import SMALL
 
 import corpus_pipeline
-from quire.llm import langid, mixing, pii, registry, sentencepiece_codec, simhash
+from quire.llm import langid, mixing, pii, registry, sentencepiece_codec
 
 
 def test_stages_on_awkward_rows(spark, awkward, empty):
@@ -20,10 +19,9 @@ def test_run(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     net = langid.fit(docs, ~langid.held_out())
     kept = [(i, t) for (i, t), (lang, score) in zip(rows, net.predict([t or "" for _, t in rows]), strict=True) if lang != "und" and (score >= corpus_pipeline.LEAST_SCORE or len((t or "").encode()) < langid.WINDOW)]
-    # near copies, every pair compared
-    bits = np.stack([np.frombuffer(simhash.fingerprint(t, simhash.WORDS, simhash.WIDE, False), np.uint64) for _, t in kept])
-    p = simhash.differing(simhash.SIMILAR)
-    radius = int(128 * p + simhash.BEYOND * (128 * p * (1 - p)) ** 0.5)
+    # near copies, every pair compared by the exact Jaccard similarity of five-word shingles
+    words = [(t or "").encode().lower().split() for _, t in kept]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
     parent = list(range(len(kept)))
 
     def root(a):
@@ -32,10 +30,9 @@ def test_run(spark):
         return a
 
     for a in range(len(kept)):
-        x = bits[a] ^ bits[:a]
-        near = (np.bitwise_count(x[:, :2]).sum(axis=1) <= radius) & (np.bitwise_count(x).sum(axis=1) <= int(simhash.WIDE * p))
-        for b in np.flatnonzero(near).tolist():
-            parent[root(a)] = root(b)
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
     least = {}
     for a, (i, _) in enumerate(kept):
         least[root(a)] = min(i, least.get(root(a), i))
