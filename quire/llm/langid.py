@@ -8,8 +8,8 @@ and at prediction a row gathered by byte pair holds what every filter needs.
 Every text is lower-cased and cut whole into windows of WINDOW bytes that overlap by the widest
 filter less one; its languages' scores are the means over its windows, weighted by their bytes.
 
-The sample is bounded by parameters: PER_LANGUAGE documents of a language, those of the least
-hash of doc_id, and WINDOWS windows of each. Only these windows reach the driver.
+The sample is bounded by parameters: PER_LANGUAGE rows of a language, those of the least hash of
+doc_id and text, however often an id repeats, and WINDOWS windows of each. Only these windows reach the driver.
 
 Cases: a null text, an empty one or one without a letter is `und` with score 0; so is every
 text if there is no labelled row; labels of rows with such texts teach nothing; ties go to the
@@ -21,14 +21,15 @@ from __future__ import annotations
 
 import pickle
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, small_batches, texts
+from quire.llm.common import arrow_map, first_rows, pieces, texts
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 PER_LANGUAGE, WINDOWS, STEPS, BATCH, RATE = 400, 4, 240, 96, 0.01
@@ -37,11 +38,12 @@ UNKNOWN = "und"
 #: Windows that are convolved at a time: their arrays stay in a core's cache.
 BLOCK = 32
 
+#: What may be a letter: numerals such as a half or a circled one pass and are told by their category.
 _letter = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str) -> bool:
-    return bool(_letter.search(text))
+    return any(unicodedata.category(m[0])[0] == "L" for m in _letter.finditer(text))
 
 
 def windows(text: str) -> np.ndarray:
@@ -161,12 +163,11 @@ class Network:
 def sample(df: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, windows and their languages' numbers from the labelled rows for which `usable` holds."""
     labelled = df.filter(usable).filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    ids = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    chosen = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= per_language)
-    found = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    found = first_rows(rows, "lang", F.xxhash64("doc_id", "text"), ["doc_id", "text"], per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for doc_id, text, lang in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
                 w = windows(text)
@@ -184,7 +185,6 @@ def sample(df: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, id_c
 
 def fit(df: DataFrame, usable: Column, **columns) -> Network:
     """A network trained on the sample of the usable rows."""
-    small_batches(df.sparkSession)
     languages, x, y = sample(df, usable, **columns)
     net = Network(languages)
     if len(languages) > 1:
@@ -205,7 +205,6 @@ def _unpacked(packed: bytes) -> Network:
 
 def identify(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
-    small_batches(df.sparkSession)
     packed = pickle.dumps(net)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -219,7 +218,6 @@ def kept(df: DataFrame, net: Network, least: float, text_col: str = "text") -> D
     """The rows of df, all columns, whose text has a language; no exchange.
 
     A text of a window's bytes or more needs a score of `least`; a shorter one says too little to be rejected by it."""
-    small_batches(df.sparkSession)
     packed = pickle.dumps(net)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch | None:
