@@ -4,9 +4,13 @@ A classifier learnt from a labelled table gives every document posteriors over t
 logistic regression on the text's shape and on which of CHOSEN out of BUCKETS hashed words occur,
 fitted on a bounded sample. Rates r >= 0
 of all documents are then fitted so that the expected tokens of each domain, the sum over
-documents of n p(domain) r, meet target * budget: least squares over the domains, weighted by
-their size, by projected gradient from r = 1. The gradient of a document depends on its
-posteriors and on the domains' residuals alone, so a step is one aggregate of a few numbers.
+documents of n p(domain) r, meet target * budget: least squares over the domains by projected
+gradient from r = 1. The gradient of a document depends on its posteriors and on the domains'
+residuals alone, so a step is one aggregate of a few numbers. Residuals are weighted by the inverse
+of the domains' Gram matrix over the documents that aren't at a bound, which meets the targets in
+one step while none is; where that doesn't bring them nearer, by the inverse of the domains' sizes,
+which always does. `Mix.converged` tells whether the targets are met; where STEPS don't suffice or rates
+can't meet them a warning says how far off they are.
 Posteriors are told in steps of 1 / GRID: documents that have them in common move together, so
 that the steps run over one row for each different vector with its tokens summed up.
 
@@ -21,45 +25,41 @@ equal rates; an empty table gives no rows; other columns are kept by `sampled` a
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, literal
+from quire.llm.common import cut, first_rows, literal, spare, written
 
 BUCKETS, PER_DOMAIN, CHOSEN, LEAST = 1 << 15, 2_000, 512, 10
 FIT_STEPS, FIT_RATE, DECAY = 300, 0.05, 1e-3
-STEPS, GOOD_ENOUGH, DEEP, GRID = 40, 5e-4, 8, 1000
+STEPS, GOOD_ENOUGH, STILL, DEEP, GRID = 60, 5e-4, 1e-5, 8, 1000
 #: A rate this near a whole number is taken as it: no more than sums of doubles err by.
 WHOLE = 1e-9
 
 
-def held(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once a row: no rule puts a generator's output back into what reads it."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
 def n_tokens(text: Column) -> Column:
     """Words between white space."""
-    return F.size(F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+"), lambda x: x != "")).cast("long")
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 def _hashed(words: Column) -> Column:
     return F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
 
 
-def _shape(text: Column, words: Column) -> list[Column]:
+def _shape(text: Column, words: Column, different: Column) -> list[Column]:
     """Numbers about the whole text: length, symbols, digits, capitals, bars, repeated words and their length."""
     size = F.greatest(F.length(text), F.lit(1))
     n = F.greatest(F.size(words), F.lit(1))
-    without = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / size
-    return [F.log1p(F.size(words).cast("double")), without("#$%&*!?@^~<>="), without("0123456789"), (text == F.upper(text)).cast("double"), without("|"), F.size(F.array_distinct(words)) / n, size / n]
+    share = lambda chars: F.regexp_count(text, F.lit(f"[{chars}]")) / size
+    return [F.log1p(F.size(words).cast("double")), share("#$%&*!?@^~<>="), share("0-9"), (text == F.upper(text)).cast("double"), share("|"), F.size(different) / n, size / n]
 
 
 SHAPES = 7
@@ -80,21 +80,23 @@ class Classifier:
         if len(self.domains) < 2:
             return df.withColumn(name, F.array(*[F.lit(1.0)] * len(self.domains)))
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        df = held(df, "__words", _words(text))
-        df = held(df, "__seen", F.struct(F.array(*_shape(text, F.col("__words"))).alias("shape"), F.array_intersect(_hashed(F.col("__words")), literal(self.chosen or [-1], "int")).alias("in"))).drop("__words")
-        odds = []
+        # what is read more than once is a projection of its own, which the optimizer doesn't repeat
+        words, different, seen, odds, e, others = (spare(df, f"{name}_{x}") for x in ("words", "different", "seen", "odds", "e", "others"))
+        df = df.withColumn(words, _words(text)).withColumn(different, F.array_distinct(words))
+        inside = F.array_intersect(_hashed(F.col(different)), literal(self.chosen or [-1], "int"))
+        df = df.withColumn(seen, F.struct(F.array(*_shape(text, F.col(words), F.col(different))).alias("shape"), inside.alias("in"))).drop(words, different)
+        all_odds = []
         for c, shape, weights in zip(self.constant, self.shapes, self.weights, strict=True):
             own = [0.0] * BUCKETS
             for b, w in zip(self.chosen, weights, strict=True):
                 own[b] = w
-            odds.append(sum((F.element_at("__seen.shape", i + 1) * F.lit(w) for i, w in enumerate(shape)), F.lit(c)) + _summed(F.col("__seen.in"), literal(own, "double")))
-        df = held(df, "__odds", F.array(*odds)).drop("__seen")
-        df = held(df, "__e", F.transform("__odds", lambda x: F.exp(x - F.array_max("__odds")))).drop("__odds")
-        total = sum((F.element_at("__e", i + 2) for i in range(len(odds) - 1)), F.element_at("__e", 1))
-        others = [F.round(F.element_at("__e", i + 2) / total * GRID) for i in range(len(odds) - 1)]
-        df = held(df, "__others", F.array(*others)).drop("__e")
-        first = F.greatest(F.lit(0.0), F.lit(float(GRID)) - F.aggregate("__others", F.lit(0.0), lambda a, x: a + x))
-        return held(df, name, F.transform(F.concat(F.array(first), F.col("__others")), lambda x: x / GRID)).drop("__others")
+            all_odds.append(sum((F.element_at(F.col(seen)["shape"], i + 1) * F.lit(w) for i, w in enumerate(shape)), F.lit(c)) + _summed(F.col(seen)["in"], literal(own, "double")))
+        df = df.withColumn(odds, F.array(*all_odds)).drop(seen)
+        df = df.withColumn(e, F.transform(odds, lambda x: F.exp(x - F.array_max(odds)))).drop(odds)
+        total = sum((F.element_at(e, i + 2) for i in range(len(all_odds) - 1)), F.element_at(e, 1))
+        df = df.withColumn(others, F.array(*[F.round(F.element_at(e, i + 2) / total * GRID) for i in range(len(all_odds) - 1)])).drop(e)
+        first = F.greatest(F.lit(0.0), F.lit(float(GRID)) - F.aggregate(others, F.lit(0.0), lambda a, x: a + x))
+        return df.withColumn(name, F.transform(F.concat(F.array(first), F.col(others)), lambda x: x / GRID)).drop(others)
 
 
 def _summed(found: Column, weights: Column) -> Column:
@@ -102,15 +104,16 @@ def _summed(found: Column, weights: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> Classifier:
-    """A classifier from labels (id, domain): the sample is per_domain ids of each domain, those of the least hash.
+    """A classifier from labels (id, domain): the sample is per_domain rows of each domain at most, those of the least hash.
 
     Buckets are chosen by how unevenly the domains hold them; the regression runs on the driver, over the sample."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(domain_col).cast("string").alias("domain")).dropna().distinct()
-    by_domain = Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id")
-    sampled = known.withColumn("n", F.row_number().over(by_domain)).filter(F.col("n") <= per_domain).drop("n")
+    sampled = first_rows(known, "domain", F.xxhash64("id"), ["id"], per_domain)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sampled), "id").withColumn("words", _words(text))
-    rows = cut(rows.select("id", "domain", F.array(*_shape(text, F.col("words"))).alias("shape"), F.array_distinct(_hashed(F.col("words"))).alias("in")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sampled), "id")
+    rows = first_rows(rows, "domain", F.xxhash64("id", text), ["id"], per_domain)  # an id may have many rows
+    rows = rows.withColumn("words", _words(text)).withColumn("different", F.array_distinct("words"))
+    rows = cut(rows.select("id", "domain", F.array(*_shape(text, F.col("words"), F.col("different"))).alias("shape"), F.array_distinct(_hashed(F.col("different"))).alias("in")))
     size = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
     domains, every = sorted(size), sum(size.values())
     if len(domains) < 2:
@@ -150,6 +153,11 @@ def _regression(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return w, c
 
 
+def _least(p: Column, keep: int | None) -> Column:
+    """The least rate: 0, or 1 for documents that are most likely of the domain to keep."""
+    return F.lit(0.0) if keep is None else F.when(F.element_at(p, keep + 1) >= F.array_max(p), F.lit(1.0)).otherwise(F.lit(0.0))
+
+
 def _rate(start: Column, steps: list[list[float]], p: Column, keep: int | None = None) -> Column:
     """The rate after gradient steps; each has a number for every domain.
 
@@ -159,10 +167,7 @@ def _rate(start: Column, steps: list[list[float]], p: Column, keep: int | None =
     n = len(steps[0])
     flat = literal([x for step in steps for x in step], "double")
     moved = lambda r, k: r - sum((F.element_at(p, d + 1) * F.element_at(flat, k * n + d + 1) for d in range(n)), F.lit(0.0))
-    within = lambda r: F.greatest(F.lit(0.0), r)
-    if keep is not None:
-        least = F.when(F.element_at(p, keep + 1) >= F.array_max(p), F.lit(1.0)).otherwise(F.lit(0.0))
-        within = lambda r: F.greatest(least, F.least(F.lit(1.0), r))
+    within = lambda r: F.greatest(_least(p, keep), r if keep is None else F.least(F.lit(1.0), r))
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, lambda r, k: within(moved(r, k)))
 
 
@@ -176,6 +181,7 @@ class Mix:
     tokens: list[float]  # expected tokens of each domain at these rates
     wanted: list[float]
     keep: int | None = None  # place of the domain whose documents all stay
+    converged: bool = True
 
     def rate(self, p: Column) -> Column:
         return _rate(F.lit(1.0), self.steps, p, self.keep)
@@ -193,31 +199,44 @@ def solve(classifier: Classifier, table: DataFrame, targets: dict[str, float], b
         return Mix(classifier, wanted, [], [], [])
     wanted = [w / sum(wanted) for w in wanted]
 
-    def sums(rate: Column) -> list[float]:
-        row = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.element_at("p", d + 1) * rate), F.lit(0.0)).alias(f"s{d}") for d in range(len(domains))]).first()
-        return [float(x) for x in row]
+    k = len(domains)
+
+    def state(rate: Column, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of each domain, and the Gram matrix of the documents that aren't at their least rate."""
+        p, n, free = [F.element_at("p", d + 1) for d in range(k)], F.col("n_tokens"), F.col("rate") > _least(F.col("p"), keep)
+        wanted = [n * p[d] * F.col("rate") for d in range(k)] + [F.when(free, n * p[d] * p[e]).otherwise(F.lit(0.0)) for d in range(k) for e in range(k)]
+        row = np.array([float(x) for x in table.withColumn("rate", rate).agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(wanted)]).first()])
+        return row[:k], row[k:].reshape(k, k)
 
-    table = cut(table.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")))
-    size = sums(F.lit(1.0))
-    total = sum(size)
+    table = cut(table.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n_tokens")))
+    size, gram = state(F.lit(1.0), None)
+    total = float(size.sum())
     if not total:
-        return Mix(classifier, wanted, [], size, size)
+        return Mix(classifier, wanted, [], size.tolist(), size.tolist())
     keep = wanted.index(max(wanted)) if budget == 0 else None
+    if keep is not None:
+        _, gram = state(F.lit(1.0), keep)
     whole = size[keep] / wanted[keep] if keep is not None else total if budget is None else budget
-    goal, now = [w * whole if keep is None else min(s, w * whole) for s, w in zip(size, wanted, strict=True)], size
-    steps: list[list[float]] = []
-    start, done = F.lit(1.0), 0
-    for _ in range(STEPS):
-        apart = [a - g for a, g in zip(now, goal, strict=True)]
-        if max(map(abs, apart)) <= GOOD_ENOUGH * total:
-            break
+    goal = np.array([w * whole if keep is None else min(s, w * whole) for s, w in zip(size, wanted, strict=True)])
+    now, steps, start, done = size, [], F.lit(1.0), 0
+    off = lambda at: float(np.abs(at - goal).max())
+    while off(now) > GOOD_ENOUGH * total and len(steps) < STEPS:
         # Weighted by 1 / size the least-squares Hessian has no eigenvalue above 1, so that a step of 1 is safe.
-        steps.append([a / s if s else 0.0 for a, s in zip(apart, size, strict=True)])
+        safe = [a / s if s else 0.0 for a, s in zip((now - goal).tolist(), size.tolist(), strict=True)]
+        for step in ((np.linalg.pinv(gram, hermitian=True) @ (now - goal)).tolist(), safe):
+            tried, gram_there = state(_rate(start, [*steps[done:], step], F.col("p"), keep), keep)
+            if step is safe or off(tried) < 0.9 * off(now):
+                break
+        moved = float(np.abs(tried - now).max())
+        steps, now, gram = [*steps, step], tried, gram_there
+        if moved <= STILL * total:
+            break  # as near as rates can come
         if len(steps) - done == DEEP:  # expressions stay of bounded depth
             table = cut(table.withColumn("r", _rate(start, steps[done:], F.col("p"), keep)))
             start, done = F.col("r"), len(steps)
-        now = sums(_rate(start, steps[done:], F.col("p"), keep))
-    return Mix(classifier, wanted, steps, now, goal, keep)
+    if not (met := off(now) <= GOOD_ENOUGH * total):
+        warnings.warn(f"mixing: after {len(steps)} steps a domain is {off(now) / total:.4f} of all tokens off its target", stacklevel=2)
+    return Mix(classifier, wanted, steps, now.tolist(), goal.tolist(), keep, met)
 
 
 def drawn(rate: Column, key: Column) -> Column:
@@ -233,12 +252,14 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: f
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = cut(classifier.add(read).select("doc_id", n_tokens(F.col("text")).alias("n_tokens"), "p"))
     found = solve(classifier, table, targets, budget)
-    return held(table, "rate", found.rate(F.col("p"))).withColumn("copies", drawn(F.col("rate"), F.col("doc_id"))), found
+    return table.withColumn("rate", found.rate(F.col("p"))).withColumn("copies", drawn(F.col("rate"), F.col("doc_id"))), found
 
 
 def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
-    """The rows of docs, each as often as its rate says, with their own columns."""
-    _, found = mix(docs, labels, targets, budget, id_col, text_col, domain_col)
-    rated = held(found.classifier.add(docs, text_col, "__p"), "__rate", found.rate(F.col("__p"))).drop("__p")
-    counted = held(rated, "__copies", drawn(F.col("__rate"), F.col(id_col).cast("long"))).drop("__rate")
-    return counted.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).drop("__copy", "__copies")
+    """The rows of docs, each as often as its rate says, with their own columns; they are written with their posteriors once, so that texts are split once."""
+    classifier = fit(docs, labels, id_col=id_col, text_col=text_col, domain_col=domain_col)
+    p, n, copies, copy = (spare(docs, x) for x in ("mix_p", "mix_tokens", "mix_copies", "mix_copy"))
+    scored = written(classifier.add(docs.withColumn(n, n_tokens(F.col(text_col))), text_col, p))
+    found = solve(classifier, scored.select(F.col(n).alias("n_tokens"), F.col(p).alias("p")), targets, budget)
+    counted = scored.withColumn(copies, drawn(found.rate(F.col(p)), F.col(id_col).cast("long")))
+    return counted.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
