@@ -25,11 +25,6 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield b.slice(i, rows)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which all executors share; one of our own only where the session names none and runs on this machine alone, as in tests."""
     context = spark.sparkContext

@@ -17,6 +17,14 @@ from quire.llm import fingerprint, langid, mixing, neighbours, pii, registry, re
 MODEL = public_tokenizers.path(registry.PIECES)
 
 
+@pytest.fixture(autouse=True)
+def settings_stay(spark):
+    """No operator leaves a setting of the session behind."""
+    before = spark.conf.getAll
+    yield
+    assert spark.conf.getAll == before
+
+
 def table(spark, name):
     return spark.read.parquet(f"{SMALL}/{name}.parquet")
 
@@ -77,6 +85,28 @@ def test_op2(spark, awkward, empty, clashing):
     assert all(r.lang_pred == "und" for r in langid.identify(awkward, langid.fit(empty, ~langid.held_out())).collect())
 
 
+def test_letters_are_those_of_unicode(spark):
+    """Numerals that count as word characters aren't letters; training and prediction agree on it."""
+    some = ["½ ²", "①", "Ⅷ", "12 _", "ª", "é", "x1", "語", "½ a"]
+    told = spark.createDataFrame([(t,) for t in some], "t string").selectExpr("t", r"rlike(t, '\\p{L}') AS told").collect()
+    assert {r.t: r.told for r in told} == {t: langid.has_letter(t) for t in some}
+    assert [langid.has_letter(t) for t in some] == [False] * 4 + [True] * 5
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """An id with thousands of rows doesn't bring them all to the driver, and samples don't depend on the partitions."""
+    rows = [(7, f"le mot {i} encore", "fr") for i in range(1500)] + [(i, f"the word {i} again", "en") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    samples = [langid.sample(d, F.lit(True), 50) for d in (df, df.repartition(9, "text"))]
+    assert all(list(np.bincount(y)) == [50, 50] for _, _, y in samples)
+    assert np.array_equal(samples[0][1], samples[1][1])
+    labels = spark.createDataFrame([(7, "poor"), *((i, "good") for i in range(1000) if i != 7)], "doc_id long, domain string")
+    c = mixing.fit(df, labels, per_domain=40)
+    assert c.domains == ["good", "poor"] and all(np.isfinite(c.constant))
+
+
 def test_windows_cover_whole_texts():
     text = "abcdefghij" * 500
     w = langid.windows(text)
@@ -454,8 +484,10 @@ def test_near_duplicates_are_those_of_jaccard(spark, monkeypatch):
     assert {r.doc_id for r in simhash.keep_first(df).collect()} == {i for i, _ in rows} - gone
 
 
-def test_near_duplicates_of_documents(spark):
+@pytest.mark.parametrize("tile", [simhash.TILE, 9])
+def test_near_duplicates_of_documents(spark, monkeypatch, tile):
     """All pairs of the documents by exact Jaccard; an estimate from bits drops 185 (0.797 to 106) and keeps 177 (0.830 to 1)."""
+    monkeypatch.setattr(simhash, "TILE", tile)
     docs = table(spark, "documents")
     words = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
@@ -493,16 +525,23 @@ def test_op10(spark):
 
 
 def test_op10_rates_match_brute_force(spark):
-    """Projected gradient on all rows, a rate for each, gives the rates of the grouped steps."""
+    """Projected gradient on all rows, a rate for each, gives the rates of the grouped steps and meets the targets."""
     docs, labels = table(spark, "documents"), registry.domains(table(spark, "labels"))
     found, mix = mixing.mix(docs, labels, registry.TARGETS)
     rows = found.collect()
     n, p = np.array([r.n_tokens for r in rows], float), np.array([r.p for r in rows])
     size, r = n @ p, np.ones(len(n))
     goal = np.array(mix.targets) * n.sum()
-    for _ in mix.steps:
-        r = np.maximum(0, r - p @ (((n * r) @ p - goal) / size))
+    for step in mix.steps:
+        apart, free = (n * r) @ p - goal, r > 0
+        newton = np.linalg.pinv((p * (n * free)[:, None]).T @ p) @ apart
+        assert np.allclose(step, newton, rtol=1e-4, atol=1e-6) or np.allclose(step, apart / size, rtol=1e-4, atol=1e-6)
+        r = np.maximum(0, r - p @ np.array(step))
     assert np.allclose(r, [x.rate for x in rows], atol=1e-6)
+    assert mix.converged and np.abs((n * r) @ p - goal).max() <= 1e-3 * n.sum()
+    copies = np.array([x.copies for x in rows])
+    spread = np.sqrt((n**2 * (r % 1) * (1 - r % 1)) @ p**2)
+    assert (np.abs((n * copies) @ p - goal) <= 1e-3 * n.sum() + 5 * spread).all()
 
 
 def test_op10_cases(spark, awkward, empty, clashing):
