@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding that keeps the source offsets of every piece.
 
 The normaliser walks the text by the longest prefix that the model's compiled character map
-knows and records, for every byte that it writes, the source byte that it comes from.
-Piece lengths summed over the normalised bytes then project each piece to a byte span of
-the original text. Ids are those of the sentencepiece library.
+knows and records, for every byte that it writes, the source byte that it comes from; where a
+model has no map, nothing but spaces changes and the walk is one replacement. The library's model,
+its own normalisation switched off, segments what the normaliser has written. Piece lengths summed
+over the normalised bytes then project each piece to a byte span of the original text. Ids are
+those that the library gives for the original text.
 
 Cases: a null or empty text has the begin and end ids only; repeated rows and ids give repeated rows; an empty
 table gives no rows; columns other than id and text are not read. Texts are taken whole.
@@ -29,8 +31,8 @@ CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
-def wire(data: bytes):
-    """(field number, value) of a serialised protocol message; nested messages stay bytes."""
+def fields(data: bytes):
+    """(field number, value, the bytes of both) of a serialised protocol message; nested messages stay bytes."""
     i, n = 0, len(data)
 
     def varint(i: int) -> tuple[int, int]:
@@ -43,6 +45,7 @@ def wire(data: bytes):
                 return value, i
 
     while i < n:
+        first = i
         key, i = varint(i)
         if (kind := key & 7) == 0:
             value, i = varint(i)
@@ -52,7 +55,34 @@ def wire(data: bytes):
         else:
             size = {1: 8, 5: 4}[kind]
             value, i = data[i : i + size], i + size
-        yield key >> 3, value
+        yield key >> 3, value, data[first:i]
+
+
+def wire(data: bytes):
+    """(field number, value) of a serialised protocol message."""
+    return ((field, value) for field, value, _ in fields(data))
+
+
+def written(field: int, value: int | bytes) -> bytes:
+    """A field of a protocol message: a whole number, or bytes."""
+
+    def varint(x: int) -> bytes:
+        out = bytearray()
+        while x > 127:
+            out.append(x & 127 | 128)
+            x >>= 7
+        return bytes([*out, x])
+
+    return varint(field << 3) + varint(value) if isinstance(value, int) else varint(field << 3 | 2) + varint(len(value)) + value
+
+
+NORMALISER = 3
+
+
+def normalising(model: bytes, charsmap: bytes = b"", dummy_prefix: bool = False, remove_extra: bool = False, escape: bool = False) -> bytes:
+    """The model with another normalisation; by default it has none."""
+    spec = written(1, b"own") + written(2, charsmap) + written(3, int(dummy_prefix)) + written(4, int(remove_extra)) + written(5, int(escape))
+    return b"".join(raw for field, _, raw in fields(model) if field != NORMALISER) + written(NORMALISER, spec)
 
 
 class CharsMap:
@@ -166,6 +196,8 @@ class Codec:
 
     def __init__(self, model: bytes):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        #: Segments what is normalised already.
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=normalising(model))
         pieces, spec, trainer = [], {}, {}
         for field, value in wire(model):
             if field == 1:
@@ -173,7 +205,7 @@ class Codec:
                 pieces.append((bytes(p.get(1, b"")), p.get(3, NORMAL)))
             elif field == 2:
                 trainer = dict(wire(value))
-            elif field == 3:
+            elif field == NORMALISER:
                 spec = dict(wire(value))
         user = sorted((p for p, kind in pieces if kind == USER_DEFINED), key=len, reverse=True)
         blob = spec.get(2, b"")
@@ -186,28 +218,34 @@ class Codec:
         self.by_chunk = self.normaliser.plain and trainer.get(3, 1) == 2 and any(k == BYTE for _, k in pieces) and not any(k == NORMAL and crossing.search(p.decode()) for p, k in pieces)
         self.known: dict[str, bytes] = {}
         self.begin, self.end = (np.array([i] if i >= 0 else [], "<u4") for i in (self.sp.bos_id(), self.sp.eos_id()))
-        self.after_a = len(self.sp.encode("a")) if self.by_chunk else 0
-
-    def _chunk(self, chunk: str) -> bytes:
-        bare = chunk.lstrip(SPACE)
-        if bare:
-            ids = self.sp.encode(chunk[1:].replace(SPACE, " "))
-        else:
-            ids = self.sp.encode("a" + " " * len(chunk))[self.after_a :]
-        return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The library's ids of a text with the begin and end ids, as unsigned 32-bit integers."""
-        return np.concatenate([self.begin, self.inner(text), self.end])
+        return self.aligned(text)[0]
 
-    def inner(self, text: str) -> np.ndarray:
-        """The ids without begin and end."""
-        if not self.by_chunk:
-            return np.array(self.sp.encode(text), "<u4")
-        if not text:
-            return np.zeros(0, "<u4")
-        known, out = self.known, []
-        chunks = CHUNK.findall(SPACE + text.replace(" ", SPACE))
+    def aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of a text with begin and end ids, and where each piece begins and ends in bytes of the original text.
+
+        The last byte piece of a character has its span; the begin id has the empty span at 0 and the end id that at the end of the text."""
+        norm, align = self.normaliser.of(text.encode())
+        found = norm.decode()
+        inner = self.inner(found)
+        ids = np.concatenate([self.begin, inner, self.end])
+        if self.unknown >= 0 and (inner == self.unknown).any():
+            # unknown pieces cover whatever stands in the normalised text, so each is read from its surface
+            covers = [len(piece.encode()) if i == self.unknown else int(self.covers[i]) for i, piece in zip(inner.tolist(), self.bare.encode(found, return_type=str), strict=True)]
+            ends = np.cumsum([*[0] * len(self.begin), *covers, *[0] * len(self.end)])
+        else:
+            ends = np.cumsum(self.covers[ids])
+        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        return ids, align[begins], align[ends]
+
+    def inner(self, norm: str) -> np.ndarray:
+        """The ids of a normalised text, without begin and end."""
+        if not self.by_chunk or not norm:
+            return np.array(self.bare.encode(norm), "<u4")
+        known = self.known
+        chunks = CHUNK.findall(norm)
         get = known.get
         out = [get(c) for c in chunks]
         if None in out:
@@ -215,7 +253,7 @@ class Codec:
                 if ids is None:
                     c = chunks[i]
                     if (ids := get(c)) is None:
-                        ids = self._chunk(c)
+                        ids = np.array(self.bare.encode(c), "<u4").tobytes()
                         if len(c) <= CACHE_CHARS:
                             if len(known) >= CACHE_CHUNKS:
                                 known.clear()
@@ -223,26 +261,6 @@ class Codec:
                     out[i] = ids
         return np.frombuffer(b"".join(out), "<u4")
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of each piece in bytes of the original text; the last byte piece of a character has its span.
-
-        The begin id has the empty span at 0 and the end id that at the end of the text."""
-        norm, align = self.normaliser.of(text.encode())
-        if self.unknown >= 0 and (ids == self.unknown).any():
-            return self._spans_by_surface(text, ids, norm, align)
-        ends = np.cumsum(self.covers[ids])
-        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return align[begins], align[ends]
-
-    def _spans_by_surface(self, text, ids, norm, align):
-        """Unknown pieces cover whatever stands in the normalised text, so each is read from its surface."""
-        ends, at = [], 0
-        for i, piece in zip(self.sp.encode(text, add_bos=True, add_eos=True), self.sp.encode(text, add_bos=True, add_eos=True, return_type=str), strict=True):
-            at += len(piece.encode()) if i == self.unknown else int(self.covers[i])
-            ends.append(at)
-        ends = np.array(ends, np.int64)
-        return align[np.concatenate([[0], ends[:-1]])], align[ends]
-
     def decode(self, ids: np.ndarray) -> str:
         return self.sp.decode(ids.tolist())
 
@@ -268,8 +286,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, rows = codec(model_path), ([], [], [])
         for text in batch["text"].to_pylist():
-            ids = c.encode(text)
-            for out, x in zip(rows, (ids, *c.spans(text, ids)), strict=True):
+            for out, x in zip(rows, c.aligned(text), strict=True):
                 out.append(x.astype(np.int32))
         return pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.list_(pa.int32())) for x in rows)], ["doc_id", "ids", "begins", "ends"])
 
@@ -292,8 +309,7 @@ def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, cols = codec(model_path), [[] for _ in range(5)]
         for text in batch["text"].to_pylist():
-            ids = c.encode(text)
-            ends = c.spans(text, ids)[1]
+            ids, _, ends = c.aligned(text)
             row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest(), len(text.encode()), int(ends[-1]) if len(ends) else 0)
             for out, x in zip(cols, row, strict=True):
                 out.append(x)

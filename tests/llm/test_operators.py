@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -15,6 +16,7 @@ from helpers import SMALL
 from quire.llm import fingerprint, langid, mixing, neighbours, pii, registry, repeats, sentencepiece_codec, shards, simhash, suffix, warc
 
 MODEL = public_tokenizers.path(registry.PIECES)
+TEXTS = pd.read_parquet(f"{SMALL}/documents.parquet", columns=["text"]).head(60)
 
 
 @pytest.fixture(autouse=True)
@@ -152,8 +154,7 @@ def test_op4(spark, awkward, empty, clashing):
 def test_spans_cover_texts():
     c = sentencepiece_codec.codec(MODEL)
     for text in ["", " ", "  two  spaces ", "é日本語🎉", "tab\tline\n", "plain words here", "▁", "a\0b"]:
-        ids = c.encode(text)
-        begins, ends = c.spans(text, ids)
+        ids, begins, ends = c.aligned(text)
         assert (begins <= ends).all() and ends[-1] == len(text.encode())
         for i, b, e in zip(ids.tolist(), begins.tolist(), ends.tolist(), strict=True):
             piece = c.sp.id_to_piece(i).replace("▁", " ").strip()
@@ -161,6 +162,55 @@ def test_spans_cover_texts():
                 assert piece.encode() in text.encode()[b:e]
 
 
+def compiled(rules: dict[str, str]) -> bytes:
+    """A compiled character map: the size of a double-array trie, the trie, and the replacements, each closed by a zero."""
+    pool, trie = b"", {}
+    for source, target in rules.items():
+        node = trie
+        for b in source.encode():
+            node = node.setdefault(b, {})
+        node[None] = len(pool)
+        pool += target.encode() + b"\0"
+    units, taken = [0] * 4096, {0}
+
+    def place(node: dict, at: int) -> None:
+        labels = [0 if b is None else b for b in node]
+        offset = next(o for o in range(1, 3000) if not any((at ^ o ^ b) in taken for b in labels))
+        taken.update(at ^ offset ^ b for b in labels)
+        units[at] |= offset << 10 | (None in node) << 8
+        for b, child in node.items():
+            if b is None:
+                units[at ^ offset] = child | 1 << 31
+            else:
+                units[at ^ offset ^ b] |= b
+                place(child, at ^ offset ^ b)
+
+    place(trie, 0)
+    data = np.array(units, "<u4").tobytes()
+    return len(data).to_bytes(4, "little") + data + pool
+
+
+@pytest.mark.parametrize("dummy_prefix, remove_extra, escape", [(True, True, True), (False, True, True), (True, False, True), (False, False, True), (True, True, False)])
+def test_the_walk_through_a_compiled_map_gives_the_ids_of_the_library(dummy_prefix, remove_extra, escape):
+    """Longest prefixes win, replacements may be empty, longer or spaces, and spans point to the original."""
+    rules = {"A": "a", "ﬁ": "fi", "½": "1/2", "é": "e", "\t": " ", "\n": " ", "\u3000": " ", "ab": "x", "abc": "yes ", "\u200b": "", "...": "…", "日本": "japan"}
+    with open(MODEL, "rb") as f:
+        model = sentencepiece_codec.normalising(f.read(), compiled(rules), dummy_prefix, remove_extra, escape)
+    c, sp = sentencepiece_codec.Codec(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert c.normaliser.charsmap and not c.normaliser.plain
+    texts = ["", " ", "   ", "\u200b", "A ﬁne ½ café", "abab abcab abc", "\t two \n\n lines  ", "日本語\u3000日本", "wait.... A...", "🎉é\u200bé ▁ x", "abc", " abc  ", "a\u200b b"]
+    texts += [r.text for r in TEXTS.itertuples() if r.text]
+    for text in texts:
+        ids, begins, ends = c.aligned(text)
+        assert ids.tolist() == sp.encode(text, add_bos=True, add_eos=True), text
+        assert (begins <= ends).all() and (begins[1:] >= ends[:-1]).all() and ends[-1] <= len(text.encode())
+        found = sp.encode(text, return_type="proto").pieces
+        assert [(x.begin, x.end) for x in found] == list(zip(begins[1:-1].tolist(), ends[1:-1].tolist(), strict=True)), text
+    ids, begins, ends = c.aligned("A ﬁne ½")
+    raw = "A ﬁne ½".encode()
+    assert b"".join(raw[b:e] for b, e in zip(begins, ends, strict=True)) == raw
+
+
 # --- 5 ---
 
 
