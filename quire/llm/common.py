@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold: with texts of a few kB a batch stays at a few MB.
+#: Rows that are handled at a time: texts of a few kB make a MB or so.
 BATCH_ROWS = 256
+#: Bytes after which Spark closes an Arrow batch, and the setting for it.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are closed after BATCH_BYTES unless the session has a bound of its own.
+
+    It's the one setting that the operators make: Spark knows none for a single frame, and frames run after the operator has returned.
+    Results never depend on it."""
+    spark = df.sparkSession
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches that have rows, cut to so many each, since texts may be long; Spark bounds a batch's bytes itself."""
+    """The batches that have rows, cut to so many each, since texts may be long."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
@@ -69,7 +82,7 @@ def first_rows(df: DataFrame, group: str, mark: Column, then: list[str], most: i
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the whole text, null texts as empty ones: extra columns never clash."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return bounded(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def arrow_map(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
@@ -80,7 +93,7 @@ def arrow_map(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch
             if (out := of_batch(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def spare(df: DataFrame, name: str) -> str:
@@ -90,6 +103,13 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def at_or_below(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above a number, by binary search."""
+    steps = [F.lit(1 << k) for k in reversed(range(max(1, len(bounds).bit_length())))]
+    known = literal(bounds or [(1 << 63) - 1], "long")
+    return F.aggregate(F.array(*steps), F.lit(0), lambda at, step: F.when(F.try_element_at(known, at + step) <= value, at + step).otherwise(at))
+
+
 def literal(values: list, kind: str) -> Column:
     """A constant array of numbers, folded by the optimizer: one literal, however many values."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")

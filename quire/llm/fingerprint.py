@@ -8,8 +8,9 @@ generalised Jaccard similarity of the bags, sum of minima over sum of maxima.
 
 `with_next` also compares each document with its successor in descending order of doc_id, and
 with an edited text that takes the successor's beginning. Texts cross one exchange, dealt into
-ranges of doc_id that are cut at near equal bytes from a histogram of BUCKETS counts; the first
-document of each range is sent to the range before it as well, so no range needs a second look.
+ranges of doc_id that are cut at near equal bytes: quantiles of a sample of the ids, by hash, make
+BUCKETS cells at most, however ids are spread, and the bytes of each cell are counted over all rows.
+The first document of each range is sent to the range before it as well, so no range needs a second look.
 
 Cases: null texts are empty, and an empty bag has a signature of its own; rows of one id follow
 each other by text and stay in one range; rows without an id come last; a single document is its own
@@ -28,9 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, literal, pieces, texts
+from quire.llm.common import arrow_map, at_or_below, literal, pieces, texts
 
 SAMPLES, BUCKETS = 64, 1 << 15
+#: Ids that the quantiles are taken of, about.
+SAMPLED = 1 << 17
 #: (word, weight) pairs whose samples a worker remembers.
 CACHE = 120_000
 
@@ -133,13 +136,15 @@ def _ranges(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
     """docs with the range `part` and `extra`, 1 for the first documents of the following range, which close this one.
 
     Ranges go up with doc_id; of each bucket of ids the driver gets one row, BUCKETS at most."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
-    bucket = F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) * F.lit((BUCKETS - 1) / max(1.0, float(high) - float(low)))).cast("int")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket + 1)
-    # rows without an id sort below all others
-    seen = docs.groupBy(bucket.alias("bucket")).agg(F.sum(F.octet_length("text") + 200).alias("weight"), F.max("doc_id").alias("top")).collect()
+    ids, span = docs.select("doc_id").filter(F.col("doc_id").isNotNull()), 1 << 30
+    share = span if (n := ids.count()) <= SAMPLED else span * SAMPLED // n
+    seen = sorted(r.doc_id for r in ids.filter(F.pmod(F.xxhash64(F.lit("range"), "doc_id"), F.lit(span)) < share).distinct().collect())
+    bounds = seen[:: max(1, -(-len(seen) // (BUCKETS - 1)))]
+    low = seen[0] if seen else 0
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at_or_below(F.col("doc_id"), bounds) + 1)
+    docs = docs.withColumn("bucket", bucket)  # rows without an id sort below all others
+    bucket = F.col("bucket")
+    seen = docs.groupBy("bucket").agg(F.sum(F.octet_length("text") + 200).alias("weight"), F.max("doc_id").alias("top")).collect()
     seen.sort(key=lambda r: r.bucket)
     target = max(1, sum(r.weight for r in seen) / parts)
     part_of, tops, at, part = [0] * (BUCKETS + 2), [], 0, -1

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, first_rows, pieces, texts
+from quire.llm.common import arrow_map, bounded, first_rows, pieces, texts
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 PER_LANGUAGE, WINDOWS, STEPS, BATCH, RATE = 400, 4, 240, 96, 0.01
@@ -163,7 +163,7 @@ class Network:
 def sample(df: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, windows and their languages' numbers from the labelled rows for which `usable` holds."""
     labelled = df.filter(usable).filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = bounded(labelled).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     found = first_rows(rows, "lang", F.xxhash64("doc_id", "text"), ["doc_id", "text"], per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import pieces
+from quire.llm.common import bounded, pieces
 
 TREES, SAMPLE, LEAF, SEARCH, SPLIT_LEAST = 3, 20_000, 192, 6_000, 8
 #: Queries that recall is measured on, and the recall wanted of them: 3 deviations of their mean above 0.9.
 HELD_OUT, AIM = 256, 0.95
-#: Vectors handled at a time.
-ROWS = 4096
+#: Vectors handled at a time, and vectors of a leaf that meet its queries in one task, about.
+ROWS, PART = 4096, 1 << 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -179,16 +179,16 @@ def _wanted(rows: DataFrame, forest: Forest, k: int, real: type) -> float:
     return float(shares[int(np.ceil(AIM * len(shares))) - 1])
 
 
-def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, sample: int = SAMPLE, search: int = SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, sample: int = SAMPLE, search: int = SEARCH, part: int = PART, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of df for which `queries` (of df's columns) holds."""
     kind = "float" if df.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = bounded(df).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     dim, n = (sizes.d, sizes.n) if sizes else (1, 0)
     rows = rows.filter(F.size("v") == dim)
     picked = rows.filter(F.pmod(F.xxhash64(F.lit("forest"), "vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 30)) + 1))
-    seen = picked.select("vec_id", "v").limit(2 * sample).collect()
+    seen = picked.select("vec_id", "v").orderBy(F.xxhash64(F.lit("forest"), "vec_id"), "vec_id", "v").limit(2 * sample).collect()
     seen.sort(key=lambda r: (r.vec_id, r.v))
     real = np.float32 if kind == "float" else np.float64
     own = list({r.vec_id: r for r in seen}.values())
@@ -203,6 +203,9 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
     if share >= 1:
         forest.trees, share = forest.trees[:1], np.inf  # all leaves of one tree are all rows
 
+    # a leaf of more than PART vectors is met in parts, each by all of its queries, so that no task holds a whole one
+    parts = [np.maximum(1, np.ceil(t.shares * n / part)).astype(np.int64) for t in forest.trees]
+
     def packed(b: pa.RecordBatch) -> np.ndarray:
         return _matrix(b["v"]).astype(real)
 
@@ -225,7 +228,9 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
                 u = unit(x)
                 vectors = pa.array([r.tobytes() for r in x], pa.binary())
                 for t, tree in enumerate(forest.trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(tree.leaves(u).astype(np.int32)), pa.array(ids), vectors], ["tree", "leaf", "vec_id", "v"])
+                    leaf = tree.leaves(u)
+                    own = np.abs(ids) % parts[t][leaf]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(own.astype(np.int32)), pa.array(ids), vectors], ["tree", "leaf", "part", "vec_id", "v"])
 
     def sown(u: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """Of each query the places and scores of the best of the sample, and the score that a candidate must reach."""
@@ -250,9 +255,9 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
             for key, r, u, (_, _, low) in zip(_keys(x), x, us, sown(us), strict=True):
                 if key not in done:
                     done.add(key)
-                    out += [(t, leaf, key, r.tobytes(), low) for t, leaf in forest.search(u, share)]
+                    out += [(t, leaf, p, key, r.tobytes(), low) for t, leaf in forest.search(u, share) for p in range(int(parts[t][leaf]))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.float64()), strict=True)], ["tree", "leaf", "key", "q", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int32()] * 3, pa.binary(), pa.binary(), pa.float64()), strict=True)], ["tree", "leaf", "part", "key", "q", "low"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, ROWS):
@@ -282,9 +287,9 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, trees: int = TREES, samp
         return pa.Table.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(schema.types)], schema=schema)
 
     asking = rows.filter("asks").select("vec_id", "v")
-    placed = rows.select("vec_id", "v").mapInArrow(place, "tree int, leaf int, vec_id long, v binary")
-    probes = asking.mapInArrow(probe, "tree int, leaf int, key binary, q binary, low double")
-    met = probes.groupBy("tree", "leaf").cogroup(placed.groupBy("tree", "leaf")).applyInArrow(meet, "key binary, vec_id long, score double")
+    placed = rows.select("vec_id", "v").mapInArrow(place, "tree int, leaf int, part int, vec_id long, v binary")
+    probes = asking.mapInArrow(probe, "tree int, leaf int, part int, key binary, q binary, low double")
+    met = probes.groupBy("tree", "leaf", "part").cogroup(placed.groupBy("tree", "leaf", "part")).applyInArrow(meet, "key binary, vec_id long, score double")
     met = met.unionByName(asking.mapInArrow(seed, "key binary, vec_id long, score double"))
     best = met.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     by_key = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")

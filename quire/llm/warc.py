@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pieces
+from quire.llm.common import bounded, pieces
 
 MAGIC = 0x184D2A5D
 REVISIT, SALTS = 1000, 32
@@ -191,7 +191,7 @@ def write(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_
         if held:
             yield out()
 
-    return marked(df, id_col, url_col, payload_col).mapInArrow(run, "archive string, content binary")
+    return bounded(marked(df, id_col, url_col, payload_col)).mapInArrow(run, "archive string, content binary")
 
 
 READ = "archive string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
@@ -230,4 +230,4 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return archives.select("archive", "content").mapInArrow(run, schema)
+    return bounded(archives).select("archive", "content").mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import sentencepiece
 import xxhash
 from helpers import SMALL
 
-from quire.llm import fingerprint, langid, mixing, neighbours, pii, registry, repeats, sentencepiece_codec, shards, simhash, suffix, warc
+from quire.llm import common, fingerprint, langid, mixing, neighbours, pii, registry, repeats, sentencepiece_codec, shards, simhash, suffix, warc
 
 MODEL = public_tokenizers.path(registry.PIECES)
 TEXTS = pd.read_parquet(f"{SMALL}/documents.parquet", columns=["text"]).head(60)
@@ -21,10 +21,12 @@ TEXTS = pd.read_parquet(f"{SMALL}/documents.parquet", columns=["text"]).head(60)
 
 @pytest.fixture(autouse=True)
 def settings_stay(spark):
-    """No operator leaves a setting of the session behind."""
-    before = spark.conf.getAll
+    """No operator leaves a setting of the session behind, but for the one bound of batches where the session has none."""
+    rest = lambda: {k: v for k, v in spark.conf.getAll.items() if k != common.BATCH_SETTING}
+    before = rest()
     yield
-    assert spark.conf.getAll == before
+    assert rest() == before
+    assert spark.conf.getAll.get(common.BATCH_SETTING) in (None, str(common.BATCH_BYTES))
 
 
 def table(spark, name):
@@ -69,6 +71,22 @@ def test_op1(spark, awkward, empty, clashing):
     assert as_set(fingerprint.with_next(awkward.filter("doc_id = 5"))) == brute_with_next([(5, awkward.filter("doc_id = 5").first().text)])
 
 
+def test_ranges_follow_the_ids_however_they_are_spread(spark):
+    """One id far away from all others, and ids that repeat, leave the ranges even; results stay those of brute force."""
+    rows = [(i, f"text {i} " * (1 + i % 3)) for i in range(-300, 900)] + [(1 << 62, "far away"), (-(1 << 62), "as far"), (7, "again"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, n = fingerprint._ranges(df, 12)
+    sizes = [r["count"] for r in dealt.filter("extra = 0").groupBy("part").count().collect()]
+    assert n == len(sizes) >= 10 and max(sizes) <= 3 * len(rows) / n
+    assert as_set(fingerprint.with_next(df)) == brute_with_next(rows)
+
+
+def test_binary_search_in_bounds(spark):
+    for bounds in ([], [5], [1, 3, 8, 8, 20], list(range(0, 3000, 3))):
+        got = spark.range(-2, 40).select("id", common.at_or_below(__import__("pyspark").sql.functions.col("id"), bounds).alias("n")).collect()
+        assert all(r.n == sum(b <= r.id for b in bounds) for r in got)
+
+
 # --- 2 ---
 
 
@@ -300,6 +318,14 @@ def test_op6_cases(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_parts_of_leaves_lose_nothing(spark):
+    from pyspark.sql import functions as F
+
+    rows = table(spark, "embeddings")
+    whole, parts = (as_set(neighbours.nearest(rows, F.col("vec_id") % 50 == 0, part=n)) for n in (neighbours.PART, 20))
+    assert whole == parts
+
+
 def test_forest_recall():
     """A search of half the rows finds nine tenths and more of the true neighbours of clustered points."""
     rng = np.random.default_rng(5)
