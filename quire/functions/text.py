@@ -106,7 +106,9 @@ def substitute(value: Column, rules: Column) -> Column:
 
 
 def human_count(n: Column) -> Column:
-    million, thousand = F.format_string("%.1f M", n / 1_000_000.0), F.format_string("%.1f k", n / 1_000.0)
+    """One place after the point, rounded by the binary value as it is, halves to even."""
+    one = lambda x, unit: F.concat(F.replace(F.format_number(x, 1), F.lit(","), F.lit("")), F.lit(unit))
+    million, thousand = one(n / 1_000_000.0, " M"), one(n / 1_000.0, " k")
     return F.when(n >= 1_000_000, million).when(n >= 1_000, thousand).otherwise(n.cast("string"))
 
 

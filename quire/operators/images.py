@@ -13,27 +13,50 @@ from pyspark.sql.types import DoubleType
 IMAGE = "struct<h:int,w:int,data:array<double>>"
 # Fixed values of the kernels.
 LEAST_WIDTH, LEAST_HEIGHT, MOST_VARIANTS = 1200, 1600, 4
-SAUVOLA_WINDOW, SAUVOLA_K, SAUVOLA_R, SKEW_ANGLES, SKEW_LEAST = 25, 0.2, 128.0, range(-10, 11), 0.5
-DARK_BELOW, BINS, SIZE, TEMPLATE_WEIGHT, SIMILAR_FROM, MOST_REFERENCES, MOST_FEATURES = 127, 64, (64, 64), 0.7, 0.85, 5, 50
+SAUVOLA_WINDOW, SAUVOLA_K, SAUVOLA_R, SKEW_ANGLES, SKEW_LEAST = 25, 0.2, 255.0, range(-10, 11), 0.5
+DARK_BELOW, BINS, MOST_HEIGHT, MOST_WIDTH, TEMPLATE_WEIGHT, SIMILAR_FROM, MOST_REFERENCES, MOST_FEATURES = 127, 64, 100, 200, 0.7, 0.85, 5, 50
+#: Pixels of variants that are handed on at a time.
+HELD = 1 << 22
 
 
 # --- numpy kernels ---
 
 
-def resize(x: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
-    at = lambda n, m: np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1)
-    r, c = at(h, x.shape[0]), at(w, x.shape[1])
-    r0, c0 = np.floor(r).astype(int), np.floor(c).astype(int)
-    r1, c1 = np.minimum(r0 + 1, x.shape[0] - 1), np.minimum(c0 + 1, x.shape[1] - 1)
-    fr, fc = (r - r0)[:, None], (c - c0)[None]
-    top = x[r0][:, c0] * (1 - fc) + x[r0][:, c1] * fc
-    return top * (1 - fr) + (x[r1][:, c0] * (1 - fc) + x[r1][:, c1] * fc) * fr
+def triangle(x: np.ndarray) -> np.ndarray:
+    return np.maximum(0, 1 - np.abs(x))
+
+
+def lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+#: Filters and how far they reach.
+FILTERS = {"bilinear": (triangle, 1.0), "lanczos": (lanczos, 3.0)}
+
+
+def resampling(n: int, m: int, kind: str) -> np.ndarray:
+    """n x m weights that make n pixels of m: the filter about each new pixel's centre, wider by the scale where pixels get fewer."""
+    kernel, reach = FILTERS[kind]
+    scale = m / n
+    wide = max(scale, 1.0)
+    centre = (np.arange(n)[:, None] + 0.5) * scale
+    at = np.arange(m)[None]
+    first, last = np.floor(np.maximum(0, centre - reach * wide + 0.5)), np.floor(np.minimum(m, centre + reach * wide + 0.5))
+    weights = np.where((at >= first) & (at < last), kernel((at + 0.5 - centre) / wide), 0.0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def resize(x: np.ndarray, h: int, w: int, kind: str = "bilinear") -> np.ndarray:
+    """Whole gray values: columns first, then rows, each rounded into 0..255; values are cut to whole ones before."""
+    x = np.trunc(x)
+    whole = lambda y: np.clip(np.floor(y + 0.5), 0, 255)
+    x = x if w == x.shape[1] else whole(x @ resampling(w, x.shape[1], kind).T)
+    return x if h == x.shape[0] else whole(resampling(h, x.shape[0], kind) @ x)
 
 
 def clean(x: np.ndarray) -> np.ndarray:
     """Twice as large if it is small both ways."""
-    return resize(x, 2 * x.shape[0], 2 * x.shape[1]) if x.shape[1] < LEAST_WIDTH and x.shape[0] < LEAST_HEIGHT else x
+    return resize(x, 2 * x.shape[0], 2 * x.shape[1], "lanczos") if x.shape[1] < LEAST_WIDTH and x.shape[0] < LEAST_HEIGHT else x
 
 
 def denoise(x: np.ndarray) -> np.ndarray:
@@ -57,14 +80,16 @@ def sauvola(x: np.ndarray) -> np.ndarray:
 
 
 def rotate(x: np.ndarray, degrees: float) -> np.ndarray:
-    """About the centre, nearest pixel, white outside."""
+    """Counter-clockwise about the centre, bilinear, black outside."""
     h, w = x.shape
     a, (r, c) = np.deg2rad(degrees), np.mgrid[:h, :w]
-    r, c = r - (h - 1) / 2, c - (w - 1) / 2
-    y = np.rint(r * np.cos(a) - c * np.sin(a) + (h - 1) / 2).astype(int)
-    z = np.rint(r * np.sin(a) + c * np.cos(a) + (w - 1) / 2).astype(int)
-    inside = (y >= 0) & (y < h) & (z >= 0) & (z < w)
-    return np.where(inside, x[np.clip(y, 0, h - 1), np.clip(z, 0, w - 1)], 255.0)
+    r, c = r - (h / 2 - 0.5), c - (w / 2 - 0.5)
+    y, z = np.sin(a) * c + np.cos(a) * r + (h / 2 - 0.5), np.cos(a) * c - np.sin(a) * r + (w / 2 - 0.5)
+    y0, z0 = np.floor(y).astype(int), np.floor(z).astype(int)
+    fy, fz = y - y0, z - z0
+    p = np.pad(x.astype(np.float64), 1)
+    at = lambda i, j: p[np.clip(i, -1, h) + 1, np.clip(j, -1, w) + 1]
+    return (at(y0, z0) * (1 - fz) + at(y0, z0 + 1) * fz) * (1 - fy) + (at(y0 + 1, z0) * (1 - fz) + at(y0 + 1, z0 + 1) * fz) * fy
 
 
 def skew(x: np.ndarray) -> int:
@@ -77,9 +102,10 @@ def skew(x: np.ndarray) -> int:
     return found
 
 
-def deskew(x: np.ndarray) -> np.ndarray:
+def deskew(x: np.ndarray) -> np.ndarray | None:
+    """The image upright, in whole gray values; none where it is so already."""
     angle = skew(x)
-    return rotate(x, angle) if abs(angle) >= SKEW_LEAST else x
+    return np.trunc(rotate(x, angle)) if abs(angle) >= SKEW_LEAST else None
 
 
 STEPS = {"clean": clean, "denoise": denoise, "sauvola": sauvola, "deskew": deskew}
@@ -110,9 +136,10 @@ def histogram(x: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Template and histogram correlation, blended."""
-    small = lambda x: resize(x, *SIZE)
-    return TEMPLATE_WEIGHT * correlation(small(a), small(b)) + (1 - TEMPLATE_WEIGHT) * correlation(histogram(a), histogram(b))
+    """Template and histogram correlation, blended, of both images at the lesser height and width, MOST_HEIGHT x MOST_WIDTH at most."""
+    size = min(a.shape[0], b.shape[0], MOST_HEIGHT), min(a.shape[1], b.shape[1], MOST_WIDTH)
+    a, b = resize(a, *size), resize(b, *size)
+    return TEMPLATE_WEIGHT * correlation(a, b) + (1 - TEMPLATE_WEIGHT) * correlation(histogram(a), histogram(b))
 
 
 # --- over columns ---
@@ -151,19 +178,27 @@ def field_features(files: DataFrame, image_col: str = "image") -> DataFrame:
 
 
 def variants(df: DataFrame, steps: tuple[str, ...] = ("denoise", "sauvola", "deskew"), image_col: str = "image", most: int = MOST_VARIANTS) -> DataFrame:
-    """A row for each variant: clean first, then the steps on the clean image; an image that can't be decoded has none."""
-    wanted, columns = ("clean", *steps)[:most], df.columns
+    """A row for each variant, `most` at most: clean first, then the steps on the original; an image that can't be decoded has none, and a step may have none."""
+    columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, pixels = [], 0
         for b in batches:
-            for _, row in b.iterrows():
+            for row in b.to_dict("records"):
                 if (x := _array(row[image_col])) is None:
                     continue
-                base = clean(x)
-                for k, name in enumerate(wanted):
-                    y = base if name == "clean" else STEPS[name](base)
-                    out = {c: row[c] for c in columns} | {image_col: {"h": y.shape[0], "w": y.shape[1], "data": y.ravel().tolist()}, "variant": name, "position": k}
-                    yield pd.DataFrame([out])
+                found = 0
+                for name in ("clean", *steps):
+                    if found >= most or (y := STEPS[name](x)) is None:
+                        continue
+                    rows.append(row | {image_col: {"h": y.shape[0], "w": y.shape[1], "data": y.ravel()}, "variant": name, "position": found})
+                    found += 1
+                    pixels += y.size
+                if pixels > HELD:
+                    yield pd.DataFrame(rows, columns=[*columns, "variant", "position"])
+                    rows, pixels = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=[*columns, "variant", "position"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, f"{schema}, variant string, position int")
@@ -206,19 +241,20 @@ def array_correlation(a: Column, b: Column) -> Column:
     return F.coalesce((n * sxy - sx * sy) / F.nullif(below, F.lit(0.0)), F.lit(0.0))
 
 
-def reference_matches(targets: DataFrame, refs: DataFrame, similarity_of, thresholds: DataFrame | None = None) -> DataFrame:
-    """field, expected, mean similarity over up to MOST_REFERENCES references by name, and whether it reaches the field's threshold.
+def reference_matches(targets: DataFrame, refs: DataFrame, similarity_of=visual_similarity, thresholds: DataFrame | None = None, key: tuple[str, ...] = ("field", "expected")) -> DataFrame:
+    """field, expected and the rest of the key, mean similarity over up to MOST_REFERENCES references by name, and whether it reaches the field's threshold.
 
-    A reference counts if its number is the expected one or can't be read; similarity_of takes the two image columns."""
+    A reference counts if its number is the expected one or can't be read; similarity_of takes the two image columns. `key` tells targets from each other."""
     from pyspark.sql import Window
 
     named = refs.select("field", F.col("filename").alias("__name"), F.col("image").alias("__image"), F.regexp_extract("filename", r"\A(\d+)", 1).alias("__number"))
-    by_number = targets.join(named.filter("__number <> ''"), (targets["field"] == named["field"]) & (targets["expected"] == F.col("__number"))).drop(named["field"])
-    free = named.filter("__number = ''").withColumn("__n", F.row_number().over(Window.partitionBy("field").orderBy("__name"))).filter(F.col("__n") <= MOST_REFERENCES).drop("__n")
+    few = named.withColumn("__n", F.row_number().over(Window.partitionBy("field", "__number").orderBy("__name"))).filter(F.col("__n") <= MOST_REFERENCES).drop("__n")
+    by_number = targets.join(few.filter("__number <> ''"), (targets["field"] == few["field"]) & (targets["expected"] == F.col("__number"))).drop(few["field"])
+    free = few.filter("__number = ''")
     unnamed = targets.join(free, targets["field"] == free["field"]).drop(free["field"])
-    w = Window.partitionBy("field", "expected").orderBy("__name")
-    both = by_number.unionByName(unnamed).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= MOST_REFERENCES)
-    found = both.withColumn("__s", similarity_of(F.col("image"), F.col("__image"))).groupBy("field", "expected").agg(F.avg("__s").alias("similarity"), F.count("*").alias("n"))
+    by = list(dict.fromkeys(("field", "expected", *key)))
+    both = by_number.unionByName(unnamed).withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__name"))).filter(F.col("__n") <= MOST_REFERENCES)
+    found = both.withColumn("__s", similarity_of(F.col("image"), F.col("__image"))).groupBy(*by).agg(F.avg("__s").alias("similarity"), F.count("*").alias("n"))
     if thresholds is not None:
         found = found.join(thresholds, "field", "left")
         return found.withColumn("matches", F.col("similarity") >= F.coalesce("threshold", F.lit(SIMILAR_FROM))).drop("threshold")

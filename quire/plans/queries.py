@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -82,10 +82,10 @@ def parse_filenames(spark, sf_dir):
     return files.withColumn("p", T.parse_reference_name(F.col("filename"))).select("o_orderkey", "filename", "p.expected", "p.detected")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN 'M' WHEN n_chars >= 1000 THEN 'k' ELSE CAST(n_chars AS VARCHAR) END AS unit FROM documents")
+@query("SELECT doc_id, CASE WHEN n >= 1000000 THEN printf('%.1f M', n / 1000000.0::DOUBLE) WHEN n >= 1000 THEN printf('%.1f k', n / 1000.0::DOUBLE) ELSE CAST(n AS VARCHAR) END AS shown FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN n_chars * 997 ELSE n_chars END AS n FROM documents)")
 def human_counts(spark, sf_dir):
-    shown = T.human_count(F.col("n_chars"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(shown.contains(" "), F.element_at(F.split(shown, " "), 2)).otherwise(shown).alias("unit"))
+    n = F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") * 997).otherwise(F.col("n_chars"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.human_count(n).alias("shown"))
 
 
 # --- validation ---
@@ -183,14 +183,14 @@ def cascade_llm(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT doc_id, m.mode, m.pos, substr(text, 1, CASE WHEN doc_id % 6 = 0 THEN m.mode ELSE 20 END) AS text, (doc_id * m.mode % 5) / 4.0::DOUBLE AS confidence
+    """WITH c AS (SELECT doc_id, m.mode, m.pos, CASE WHEN doc_id % 6 = 0 THEN repeat('x', m.mode) ELSE text END AS text, (doc_id * m.mode % 5) / 4.0::DOUBLE AS confidence
 FROM documents, (VALUES (6, 1), (4, 2), (3, 3), (11, 4)) m(mode, pos)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, pos) AS n FROM c WHERE length(trim(text)) >= 4 AND confidence > 0) SELECT doc_id, mode, confidence FROM r WHERE n = 1"""
 )
 def multi_mode_argmax(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, C.MODES))).alias("mode"))
-    size = F.when(F.col("doc_id") % 6 == 0, F.col("mode")).otherwise(20)
-    some = docs.select("doc_id", "mode", F.substr("text", F.lit(1), size).alias("text"), ((F.col("doc_id") * F.col("mode") % 5) / 4.0).alias("confidence"))
+    shown = F.when(F.col("doc_id") % 6 == 0, F.expr("repeat('x', mode)")).otherwise(F.col("text"))
+    some = docs.select("doc_id", "mode", shown.alias("text"), ((F.col("doc_id") * F.col("mode") % 5) / 4.0).alias("confidence"))
     return C.best_mode(some).select("doc_id", "mode", "confidence")
 
 
@@ -204,12 +204,13 @@ FORM_TEXT = "concat('Form FORM-A', right(concat('00000', o_orderkey), 5), ' end'
 def _extracted(spark, sf_dir, text: str, extractor: E.Extractor) -> DataFrame:
     rendered = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(text.replace("chr(10)", "char(10)")).alias("text"))
     done = extractor.process(rendered)
-    return done.select("o_orderkey", *[F.element_at("fields", F.lit(f)).alias(f) for f in extractor.fields], "success")
+    errors = F.flatten(F.array(*[F.element_at("validation", F.lit(f))["errors"] for f in extractor.fields]))
+    return done.select("o_orderkey", *[F.element_at("fields", F.lit(f)).alias(f) for f in extractor.fields], joined(errors).alias("errors"), "success")
 
 
 _ID_SQL = f"""WITH t AS (SELECT o_orderkey, {ID_TEXT} AS text FROM orders), l AS (SELECT o_orderkey, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
 e AS (SELECT o_orderkey, coalesce(regexp_extract(list_filter(lines, lambda x: regexp_matches(x, '\\bID-\\d{{8}}\\b'))[-1], '\\bID-\\d{{8}}\\b'), '') AS id_number,
-array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '\\bID-\\d{{8}}\\b')), ' ') AS full_name FROM l) SELECT *, id_number <> '' AND full_name <> '' AS success FROM e"""
+array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '\\bID-\\d{{8}}\\b')), ' ') AS full_name FROM l) SELECT *, CASE WHEN id_number = '' THEN 'does not match ID card number' ELSE '' END AS errors, id_number <> '' AND full_name <> '' AS success FROM e"""
 
 
 @query(_ID_SQL)
@@ -220,7 +221,7 @@ def extract_id_card(spark, sf_dir):
 @query(
     f"""WITH t AS (SELECT o_orderkey, {INVOICE_TEXT} AS text FROM orders), e AS (SELECT o_orderkey, regexp_extract(text, '\\bINV-\\d{{4}}-\\d{{4}}\\b') AS invoice_number,
 regexp_extract(text, '(?:TOTAL|TOTal|Total)[\\s:]*\\$?\\s*(\\d{{1,7}}(?:\\.\\d{{2}})?)', 1) AS total_amount, trim(string_split(text, chr(10))[2]) AS vendor FROM t)
-SELECT *, invoice_number <> '' AND total_amount <> '' AND vendor <> '' AS success FROM e"""
+SELECT *, concat_ws('|', CASE WHEN invoice_number = '' THEN 'does not match invoice number' END, CASE WHEN total_amount = '' THEN 'does not match amount' END) AS errors, invoice_number <> '' AND total_amount <> '' AND vendor <> '' AS success FROM e"""
 )
 def extract_invoice(spark, sf_dir):
     return _extracted(spark, sf_dir, INVOICE_TEXT, E.INVOICE)
@@ -228,8 +229,8 @@ def extract_invoice(spark, sf_dir):
 
 @query(
     f"""WITH t AS (SELECT o_orderkey, {FORM_TEXT} AS text FROM orders), e AS (SELECT o_orderkey, regexp_extract(text, '\\bFORM-[A-Z0-9]{{6}}\\b') AS form_code,
-CASE WHEN regexp_matches(regexp_replace(substr(text, strpos(lower(text), 'signature'), 200), 'signature', ''), '[A-Za-z]{{3}}') THEN 'yes' ELSE '' END AS signature_present FROM t)
-SELECT *, form_code <> '' AND signature_present <> '' AS success FROM e"""
+CASE WHEN regexp_matches(regexp_replace(substr(text, strpos(lower(text), 'signature'), 200), 'signature', ''), '[A-Za-z]{{3}}') THEN 'yes' ELSE 'no' END AS signature_present FROM t)
+SELECT *, CASE WHEN form_code = '' THEN 'does not match form code' ELSE '' END AS errors, form_code <> '' AS success FROM e"""
 )
 def extract_form(spark, sf_dir):
     return _extracted(spark, sf_dir, FORM_TEXT, E.FORM)
@@ -240,9 +241,9 @@ def extract_form(spark, sf_dir):
 _DONE = "(SELECT doc_id FROM labels WHERE quality = 1)"
 
 
-@query(f"WITH i AS (SELECT doc_id % 600 AS document_id, min(doc_id) AS seq FROM documents GROUP BY 1) SELECT document_id, seq FROM i WHERE document_id NOT IN {_DONE}")
+@query(f"WITH i AS (SELECT doc_id // 2 AS document_id, min(doc_id) AS seq FROM documents GROUP BY 1) SELECT document_id, seq FROM i WHERE document_id NOT IN {_DONE}")
 def resume_pending(spark, sf_dir):
-    items = read(spark, sf_dir, "documents").select((F.col("doc_id") % 600).alias("document_id"), F.col("doc_id").alias("seq"))
+    items = read(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("document_id"), F.col("doc_id").alias("seq"))
     done = read(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("document_id"))
     return resume.pending(items, done)
 
@@ -510,7 +511,8 @@ def failed_rows(spark, sf_dir):
 SELECT n.row_number, CASE WHEN s.a IS NULL THEN CASE WHEN n.row_number % 4 = 0 THEN '||new' || n.row_number ELSE '' END WHEN s.row_number % 4 = 0 THEN concat(a, '|', b, '|new', s.row_number) ELSE concat(a, '|', b) END AS cells FROM n LEFT JOIN s ON n.row_number = s.row_number""")
 def cell_upsert(spark, sf_dir):
     sheet = _sheet(spark, sf_dir)
-    numbers = sheet.agg(F.max("row_number").alias("m")).select(F.explode(F.sequence(F.lit(1), "m")).alias("row_number"))
+    most = sheet.agg(F.max("row_number")).first()[0] or 0
+    numbers = spark.range(1, most + 1).select(F.col("id").cast("int").alias("row_number"))
     updates = numbers.filter("row_number % 4 = 0").select("row_number", F.lit("C").alias("letter"), F.concat(F.lit("new"), F.col("row_number").cast("string")).alias("value"))
     return sinks.upserted(sheet, updates).select("row_number", joined(F.col("cells")).alias("cells"))
 
@@ -534,8 +536,12 @@ def jsonl_roundtrip(spark, sf_dir):
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session, or one of our own where it names none."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/quire"
+    """The shared folder of the session; one of our own only where it names none and runs on this machine alone."""
+    if named := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/quire"
 
 
 # --- images ---
@@ -564,25 +570,45 @@ def _rasters(spark, sf_dir) -> DataFrame:
     return e.select("vec_id", F.concat(F.lit("f"), (F.col("label") % 3).cast("string")).alias("field"), F.when(F.col("vec_id") % 2 == 0, "correct").otherwise("error").alias("outcome"), F.concat(F.col("vec_id").cast("string"), F.lit("_1.png")).alias("filename"), F.struct(F.lit(1).alias("h"), F.size("data").alias("w"), "data").alias("image"))
 
 
-@query("""WITH d AS (SELECT vec_id, unnest(embedding)::DOUBLE * 400 + 128 AS v FROM embeddings), p AS (SELECT vec_id, least(255.0::DOUBLE, greatest(0.0::DOUBLE, v)) AS v FROM d)
-SELECT vec_id, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast, round(avg(CASE WHEN v < 127 THEN 1.0::DOUBLE ELSE 0 END), 6) AS density FROM p GROUP BY 1""")
+def _squares(spark, sf_dir) -> DataFrame:
+    """Rasters of eight rows."""
+    wide = F.struct(F.lit(8).alias("h"), (F.size("image.data") / 8).cast("int").alias("w"), F.slice("image.data", F.lit(1), (F.size("image.data") / 8).cast("int") * 8).alias("data"))
+    return _rasters(spark, sf_dir).select("vec_id", wide.alias("image"))
+
+
+_PIXELS = """WITH d AS (SELECT vec_id, len(embedding) // 8 AS w, unnest(embedding[1 : len(embedding) // 8 * 8])::DOUBLE * 400 + 128 AS v, generate_subscripts(embedding[1 : len(embedding) // 8 * 8], 1) - 1 AS i FROM embeddings),
+p AS (SELECT vec_id, i // w AS r, i % w AS c, w, least(255.0::DOUBLE, greatest(0.0::DOUBLE, v)) AS v FROM d)"""
+
+
+@query(f"""{_PIXELS}, e AS (SELECT a.vec_id, a.r, a.c, least(255.0::DOUBLE, greatest(0.0::DOUBLE, 9 * max(a.v) - sum(b.v))) AS edge FROM p a JOIN p b ON a.vec_id = b.vec_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 WHERE a.r BETWEEN 1 AND 6 AND a.c BETWEEN 1 AND a.w - 2 GROUP BY ALL),
+s AS (SELECT vec_id, var_pop(edge) AS sharpness FROM e GROUP BY 1), f AS (SELECT vec_id, avg(v) AS brightness, stddev_pop(v) AS contrast, avg(CASE WHEN v < 127 THEN 1.0::DOUBLE ELSE 0 END) AS density FROM p GROUP BY 1)
+SELECT f.vec_id, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(sharpness, 6) AS sharpness, round(density, 6) AS density FROM f JOIN s ON f.vec_id = s.vec_id""")
 def image_features(spark, sf_dir):
-    found = images.image_features(_rasters(spark, sf_dir).select("vec_id", "image"))
-    return found.select("vec_id", *[F.round(c, 6).alias(c) for c in ("brightness", "contrast", "density")])
+    found = images.image_features(_squares(spark, sf_dir))
+    return found.select("vec_id", *[F.round(c, 6).alias(c) for c in ("brightness", "contrast", "sharpness", "density")])
 
 
 @query()
 def image_variants(spark, sf_dir):
-    wide = F.struct(F.lit(8).alias("h"), (F.size("image.data") / 8).cast("int").alias("w"), F.slice("image.data", F.lit(1), (F.size("image.data") / 8).cast("int") * 8).alias("data"))
-    rasters = _rasters(spark, sf_dir).select("vec_id", wide.alias("image"))
-    return images.image_features(images.variants(rasters))
+    return images.image_features(images.variants(_squares(spark, sf_dir)))
 
 
-@query()
+_NAMED = "CASE WHEN vec_id % 11 = 0 THEN concat('scan_', vec_id, '.png') ELSE concat(vec_id % 7, '_', vec_id, '.png') END"
+
+
+@query(f"""WITH d AS (SELECT vec_id, concat('f', label % 3) AS field, CAST(vec_id % 9 AS VARCHAR) AS expected, {_NAMED} AS filename, list_transform(embedding, lambda x: trunc(least(255.0::DOUBLE, greatest(0.0::DOUBLE, x::DOUBLE * 400 + 128)))) AS x FROM embeddings),
+r AS (SELECT *, regexp_extract(filename, '^([0-9]+)', 1) AS number FROM d), u AS (SELECT *, row_number() OVER (PARTITION BY field, number ORDER BY filename) AS k FROM r),
+c AS (SELECT t.vec_id, t.field, t.expected, t.x, u.x AS y, row_number() OVER (PARTITION BY t.vec_id ORDER BY u.filename) AS n FROM d t JOIN u ON t.field = u.field AND (u.number = '' OR u.number = t.expected) WHERE k <= 5),
+b AS (SELECT * FROM c WHERE n <= 5), l AS (SELECT vec_id, n, unnest(x) AS x, unnest(y) AS y FROM b), ncc AS (SELECT vec_id, n, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) ELSE 0 END AS s FROM l GROUP BY 1, 2),
+h AS (SELECT vec_id, n, g.k, count(*) FILTER (least(floor(x / (255 / 64.0::DOUBLE)), 63) = g.k) AS x, count(*) FILTER (least(floor(y / (255 / 64.0::DOUBLE)), 63) = g.k) AS y FROM l, generate_series(0, 63) g(k) GROUP BY ALL),
+hc AS (SELECT vec_id, n, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) ELSE 0 END AS s FROM h GROUP BY 1, 2),
+a AS (SELECT b.vec_id, b.field, b.expected, avg(0.7 * ncc.s + 0.3 * hc.s) AS similarity, count(*) AS n FROM b JOIN ncc ON b.vec_id = ncc.vec_id AND b.n = ncc.n JOIN hc ON b.vec_id = hc.vec_id AND b.n = hc.n GROUP BY ALL)
+SELECT vec_id, field, expected, n, round(similarity, 6) AS similarity, similarity >= 0.85 AS matches FROM a""")
 def reference_threshold_match(spark, sf_dir):
-    rasters = _rasters(spark, sf_dir)
-    targets = rasters.select("field", F.col("vec_id").cast("string").alias("expected"), "image")
-    return images.reference_matches(targets, rasters.select("field", "filename", "image"), lambda a, b: images.array_correlation(a["data"], b["data"]))
+    rasters = _rasters(spark, sf_dir).withColumn("filename", F.expr(_NAMED))
+    targets = rasters.select("vec_id", "field", (F.col("vec_id") % 9).cast("string").alias("expected"), "image")
+    found = images.reference_matches(targets, rasters.select("field", "filename", "image"), key=("vec_id",))
+    return found.select("vec_id", "field", "expected", "n", F.round("similarity", 6).alias("similarity"), "matches")
 
 
 @query("SELECT concat('f', label % 3) AS field, CASE WHEN vec_id % 2 = 0 THEN 'correct' ELSE 'error' END AS outcome, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -615,12 +641,12 @@ def event_time_windows(spark, sf_dir):
 # --- jobs ---
 
 
-@query()
+@query(f"WITH x AS ({_ID_SQL}) SELECT success, count(*) AS n FROM x WHERE o_orderkey % 10 <> 0 GROUP BY 1")
 def batch_run(spark, sf_dir):
-    """Invented cards through the extractor, then counted by success."""
-    items = jobs.sample_documents(spark, 2_000)
+    """Cards of all orders through the extractor but for those that are done, then counted by success."""
+    items = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderkey").alias("seq"), F.expr(ID_TEXT.replace("chr(10)", "char(10)")).alias("text"))
     done = items.filter("seq % 10 = 0").select("document_id")
-    return jobs.run_batch(items, E.ID_CARD, done).groupBy("success").count()
+    return jobs.run_batch(items, E.ID_CARD, done).groupBy("success").agg(F.count("*").alias("n"))
 
 
 def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -628,7 +654,8 @@ def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     read_docs = _cascaded(spark, sf_dir).select("doc_id", "reading.*")
     found = read_docs.withColumn("numbers", T.extract_numbers(F.col("text"))).withColumn("number", F.try_element_at("numbers", F.lit(1)))
     checked = found.withColumn("v", V.Length(6, 10, digits_only=True).check(F.col("number")))
-    return checked.select("doc_id", "provider", "confidence", F.size("numbers").alias("n_numbers"), "number", F.col("v.valid").alias("valid"), F.count("*").over(Window.partitionBy("provider")).alias("n_of_provider"))
+    of_provider = read_docs.groupBy("provider").agg(F.count("*").alias("n_of_provider"))  # a row a provider
+    return checked.join(F.broadcast(of_provider), "provider").select("doc_id", "provider", "confidence", F.size("numbers").alias("n_numbers"), "number", F.col("v.valid").alias("valid"), "n_of_provider")
 
 
 QUERIES["minimum_slice"] = minimum_slice

@@ -143,7 +143,7 @@ def csv_sheet(spark: SparkSession, path: str) -> DataFrame:
     """row_number, cells: all strings, ragged rows as they are, no header. One file of a sheet's size."""
     raw = spark.read.option("wholetext", True).text(path)
 
-    @F.udf("array<array<string>>")
+    @F.udf("array<array<string>>", useArrow=True)
     def parse(text: str) -> list[list[str]]:
         import csv
         import io

@@ -27,12 +27,24 @@ def deduplicated(batch: DataFrame, key: str = "path") -> DataFrame:
 
 
 def snapshot(df: DataFrame, path: str) -> None:
-    """Replaces a table of learned state, rules, patterns or processed ids."""
-    df.write.mode("overwrite").parquet(path)
+    """Replaces a table of learned state, rules, patterns or processed ids, which df may have been read from.
+
+    The new table is written beside it and takes its place when it is whole."""
+    jvm = df.sparkSession._jvm
+    beside, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}") for x in ("new", "old"))
+    at = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    df.write.mode("overwrite").parquet(beside.toString())
+    fs.delete(old, True)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(beside, at):
+        raise OSError(f"{beside} can't be moved")
+    fs.delete(old, True)
 
 
 def clear(df: DataFrame, path: str) -> None:
-    df.limit(0).write.mode("overwrite").parquet(path)
+    snapshot(df.limit(0), path)
 
 
 def upserted(sheet: DataFrame, updates: DataFrame) -> DataFrame:
@@ -43,8 +55,8 @@ def upserted(sheet: DataFrame, updates: DataFrame) -> DataFrame:
     index = F.aggregate(F.split(F.upper("letter"), ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(a * 26 + F.ascii(c) - 64)) - 1
     last = updates.groupBy("row_number", index.alias("at")).agg(F.max_by("value", order).alias("value"))
     rows = last.groupBy("row_number").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("new"))
-    every = sheet.agg(F.coalesce(F.max("row_number"), F.lit(0)).alias("n")).join(F.broadcast(updates.agg(F.coalesce(F.max("row_number"), F.lit(0)).alias("m"))))  # one row each
-    numbers = every.select(F.explode(F.when(F.greatest("n", "m") > 0, F.sequence(F.lit(1), F.greatest("n", "m").cast("int"))).otherwise(F.array().cast("array<int>"))).alias("row_number"))
+    most = max(x.agg(F.max("row_number")).first()[0] or 0 for x in (sheet, updates))
+    numbers = sheet.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("row_number"))
     joined = numbers.join(sheet, "row_number", "left").join(rows, "row_number", "left")
     old = F.coalesce("cells", F.array().cast("array<string>"))
     new = F.coalesce("new", F.create_map().cast("map<int,string>"))
@@ -54,10 +66,12 @@ def upserted(sheet: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def upsert_named(rows: DataFrame, updates: DataFrame, key: str = "row_number") -> DataFrame:
-    """Records with the updates' columns where they aren't null; other rows as they are."""
+    """Records with the updates' columns where they aren't null; other rows as they are. Records grow to the last updated row, new ones being empty."""
     names = [c for c in updates.columns if c != key]
     new = updates.select(key, *[F.col(c).alias(f"__{c}") for c in names])
-    joined = rows.join(new, key, "left")
+    most = max(x.agg(F.max(key)).first()[0] or 0 for x in (rows, updates))
+    every = rows.sparkSession.range(1, most + 1).select(F.col("id").cast(rows.schema[key].dataType).alias(key))
+    joined = every.join(rows, key, "left").join(new, key, "left")
     return joined.select(key, *[F.coalesce(f"__{c}", c).alias(c) if c in names else F.col(c) for c in rows.columns if c != key])
 
 
