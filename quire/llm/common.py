@@ -103,13 +103,6 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def at_or_below(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are not above a number, by binary search."""
-    steps = [F.lit(1 << k) for k in reversed(range(max(1, len(bounds).bit_length())))]
-    known = literal(bounds or [(1 << 63) - 1], "long")
-    return F.aggregate(F.array(*steps), F.lit(0), lambda at, step: F.when(F.try_element_at(known, at + step) <= value, at + step).otherwise(at))
-
-
 def literal(values: list, kind: str) -> Column:
     """A constant array of numbers, folded by the optimizer: one literal, however many values."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")

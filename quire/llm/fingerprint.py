@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, at_or_below, literal, pieces, texts
+from quire.functions.ranges import at_or_below
+from quire.llm.common import arrow_map, literal, pieces, texts
 
 SAMPLES, BUCKETS = 64, 1 << 15
 #: Ids that the quantiles are taken of, about.

@@ -81,12 +81,6 @@ def test_ranges_follow_the_ids_however_they_are_spread(spark):
     assert as_set(fingerprint.with_next(df)) == brute_with_next(rows)
 
 
-def test_binary_search_in_bounds(spark):
-    for bounds in ([], [5], [1, 3, 8, 8, 20], list(range(0, 3000, 3))):
-        got = spark.range(-2, 40).select("id", common.at_or_below(__import__("pyspark").sql.functions.col("id"), bounds).alias("n")).collect()
-        assert all(r.n == sum(b <= r.id for b in bounds) for r in got)
-
-
 # --- 2 ---
 
 
