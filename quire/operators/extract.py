@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,7 @@ class Extractor:
     document_type: str
     fields: Mapping[str, Callable[[Column], Column]]
     checks: Mapping[str, Validator | Callable[[Column], Column]] = field(default_factory=dict)
+    hooks: Sequence[Callable[[DataFrame], DataFrame]] = ()  # see the results as they leave, such as a sink of outcomes
 
     def extract(self, text: Column, split: Column | None = None) -> Column:
         """map<string,string>; what isn't found is ''. split: the text's lines, where they are known."""
@@ -50,7 +51,10 @@ class Extractor:
         df = df.withColumn("validation", self.validate(F.col("fields")))
         if external is not None:
             df = df.withColumn("validation", overlaid(F.col("validation"), external))
-        return df.withColumn("success", succeeded(F.col("validation"))).withColumn("matches", match_vector(F.col("validation"), list(self.fields)))
+        df = df.withColumn("success", succeeded(F.col("validation"))).withColumn("matches", match_vector(F.col("validation"), list(self.fields)))
+        for hook in self.hooks:
+            df = hook(df)
+        return df
 
 
 def first_match(pattern: str, group: int = 0) -> Callable[[Column], Column]:

@@ -86,3 +86,10 @@ def matches_expected(expected: Column, name: Column) -> Column:
     """Whether a reference file is of the expected number; names without a number are let through."""
     number = T.leading_number(name)
     return number.isNull() | (number == expected)
+
+
+def model_status(rules: DataFrame, fields: list[str]) -> DataFrame:
+    """field, n_rules of all declared fields."""
+    known = rules.sparkSession.createDataFrame([(f,) for f in fields], "field string")
+    counted = rules.groupBy("field").agg(F.count("*").alias("n_rules"))
+    return known.join(counted, "field", "left").select("field", F.coalesce("n_rules", F.lit(0).cast("long")).alias("n_rules"))

@@ -94,3 +94,18 @@ def adjusted(config: DataFrame, rates: DataFrame, found: DataFrame, features: Da
         changes = changes + dark.cast("int") + blurred.cast("int")
         pre = F.struct(F.when(dark, "clahe").otherwise(pre["threshold"]).alias("threshold"), F.when(blurred, 1).otherwise(pre["blur_kernel"]).alias("blur_kernel"), pre["clahe"].alias("clahe"))
     return df.select("field", expanded(F.col("roi"), step).alias("roi"), pre.alias("preprocessing"), "min_confidence", F.concat("correction_rules", fresh).alias("correction_rules"), changes.alias("n_changes"))
+
+
+def learning_summary(config: DataFrame, found: DataFrame, rates: DataFrame) -> DataFrame:
+    """field, correction_rules, patterns (confusions kept), and the field's success rate to one place, of the configuration's fields."""
+    kept = top(found, "confusion", TOP_CONFUSIONS).groupBy("field").agg(F.count("*").alias("patterns"))
+    df = config.select("field", F.size("correction_rules").cast("long").alias("correction_rules")).join(kept, "field", "left").join(rates.select("field", "rate"), "field", "left")
+    return df.select("field", "correction_rules", F.coalesce("patterns", F.lit(0).cast("long")).alias("patterns"), F.round(F.coalesce("rate", F.lit(0.0)), 1).alias("success_rate"))
+
+
+def kept_rates(now: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """initial_success_rate, current_success_rate of global_rate's row: the initial one stays that of the first analysis that wasn't 0."""
+    current = now.select(F.col("rate").alias("current_success_rate"))
+    before = first.select("initial_success_rate") if first is not None else now.select(F.lit(0.0).alias("initial_success_rate"))
+    both = current.join(F.broadcast(before))  # one row each
+    return both.select(F.when(F.col("initial_success_rate") > 0, F.col("initial_success_rate")).otherwise(F.col("current_success_rate")).alias("initial_success_rate"), "current_success_rate")

@@ -56,3 +56,22 @@ def review_queue(batch: DataFrame, key: str = "path", shown: int | None = REVIEW
 def provider_benchmark(runs: DataFrame) -> DataFrame:
     """docs, seconds and chars by provider of runs (provider, seconds, text)."""
     return runs.groupBy("provider").agg(F.count("*").alias("docs"), F.sum("seconds").alias("seconds"), F.sum(F.length("text")).alias("chars"))
+
+
+def scanned(pages: DataFrame, recognise=None, max_pages: int | None = None, key: str = "path") -> DataFrame:
+    """key, n, chars, provider, conf, text of pages (key, n, layer): the text layer, else what `recognise` reads, else nothing.
+
+    recognise: a provider, run on pages without a text layer alone; None: text layers only. Confidences have three places."""
+    from quire.functions.text import is_blank
+
+    if max_pages is not None:
+        pages = pages.filter(F.col("n") <= max_pages)
+    blank = is_blank(F.col("layer"))
+    read = pages.filter(~blank).select(key, "n", F.lit(TEXT_LAYER).alias("provider"), F.lit(1.0).alias("conf"), F.col("layer").alias("text"))
+    rest = pages.filter(blank)
+    if recognise is None:
+        rest = rest.select(key, "n", F.lit("none").alias("provider"), F.lit(0.0).alias("conf"), F.lit("").alias("text"))
+    else:
+        r = F.col("reading")
+        rest = recognise(rest).select(key, "n", F.coalesce(r["provider"], F.lit("none")).alias("provider"), F.round(F.coalesce(r["confidence"], F.lit(0.0)), 3).alias("conf"), F.coalesce(r["text"], F.lit("")).alias("text"))
+    return read.unionByName(rest).select(key, "n", F.length("text").alias("chars"), "provider", "conf", "text")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.extract import Extractor
 from quire.operators.resume import pending
+from quire.sources.readers import done_ids
 
 END = "__end__"
 
@@ -69,15 +71,20 @@ class StateMachine:
 
 @dataclass
 class Step:
-    """A function of the results; on_error: `skip` goes on without it, `stop` raises."""
+    """A function of the results (with_context: of results and a context, which gives both); on_error: `skip` goes on without it, `stop` raises."""
 
     name: str
-    fn: Callable[[DataFrame], DataFrame]
+    fn: Callable
     on_error: str = "skip"
+    with_context: bool = False
 
 
-def run_batch(items: DataFrame, extractor: Extractor, done: DataFrame | None = None, steps: Sequence[Step] = (), text_col: str = "text", key: str = "document_id", order: str = "seq", retry_failed: bool = False) -> DataFrame:
-    """Results of the items that aren't done, each once: fields, validation, success, matches, and what the steps add."""
+def run_batch(items: DataFrame, extractor: Extractor, done: DataFrame | None = None, steps: Sequence[Step] = (), text_col: str = "text", key: str | Column = "document_id", order: str = "seq", retry_failed: bool = False) -> DataFrame:
+    """Results of the items that aren't done, each once: fields, validation, success, matches, and what the steps add.
+
+    key: the column of the document's id, or an expression for it, which becomes document_id."""
+    if isinstance(key, Column):
+        items, key = items.withColumn("document_id", key), "document_id"
     results = extractor.process(pending(items, done, key, order, retry_failed=retry_failed), text_col)
     for step in steps:
         try:
@@ -89,6 +96,38 @@ def run_batch(items: DataFrame, extractor: Extractor, done: DataFrame | None = N
     return results
 
 
+def run_resumable(items: DataFrame, extractor: Extractor, results_path: str, done_path: str, batches: int = 8, steps: Sequence[Step] = (), context: dict | None = None, text_col: str = "text", key: str = "document_id", order: str = "seq") -> dict:
+    """Runs items in batches by a hash of their key; each batch's results are written, then its keys, so that a job that dies repeats one batch at most.
+
+    Gives total, succeeded, failed, skipped, and the context that steps with one pass from batch to batch. A batch that fails while it
+    runs counts as failed and isn't marked as done, unless a step says `stop`: then its error is raised."""
+    spark, context = items.sparkSession, {} if context is None else context
+    summary = {"total": items.count(), "succeeded": 0, "failed": 0}
+    todo = pending(items, done_ids(spark, done_path), key, order)
+    for b in range(batches):
+        own = todo.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == b)
+        try:
+            results = extractor.process(own, text_col)
+            for step in steps:
+                if step.with_context:
+                    results, context = step.fn(results, context)
+                else:
+                    results = step.fn(results)
+            path = f"{results_path}/batch={b}-{uuid.uuid4().hex}"
+            results.write.parquet(path)
+            written = spark.read.schema(results.schema).parquet(path)
+            written.select(F.col(key).cast("string")).write.mode("append").text(done_path)
+        except Exception:
+            if any(step.on_error == "stop" for step in steps):
+                raise
+            summary["failed"] += own.count()
+            continue
+        row = written.agg(F.count_if("success").alias("ok"), F.count("*").alias("n")).first()
+        summary["succeeded"] += row.ok
+        summary["failed"] += row.n - row.ok
+    return summary | {"skipped": summary["total"] - summary["succeeded"] - summary["failed"], "context": context}
+
+
 def sample_documents(spark: SparkSession, n: int, kind: str = "id_card") -> DataFrame:
     """document_id, seq, text of invented documents, from integer arithmetic alone."""
     i = F.col("id")

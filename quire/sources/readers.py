@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,8 +77,6 @@ def image_counts(refs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def decode_arrays(df: DataFrame, content_col: str = "content") -> DataFrame:
     """df with `image` decoded from .npy or PGM bytes; null where that fails. Other formats need an optional library."""
-    import pandas as pd
-
     @F.pandas_udf(schemas.IMAGE)
     def of(content: pd.Series) -> pd.DataFrame:
         rows = []
@@ -115,6 +114,12 @@ def decoded(data: bytes):
     return np.asarray(Image.open(io.BytesIO(data)).convert("L"))
 
 
+def launched(spark: SparkSession, root: str) -> DataFrame:
+    """path, seq of a launcher's images: *.png by name, then *.jpg by name, both as they are spelt, of the folder alone."""
+    found = [spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root).select("path", F.lit(n).alias("kind")) for n, glob in enumerate(("*.png", "*.jpg"))]
+    return found[0].unionByName(found[1]).withColumn("seq", F.struct("kind", "path")).select("path", "seq")
+
+
 # --- sheets ---
 
 
@@ -141,7 +146,7 @@ def column_letter(index: int) -> str:
 
 def csv_sheet(spark: SparkSession, path: str) -> DataFrame:
     """row_number, cells: all strings, ragged rows as they are, no header. One file of a sheet's size."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
 
     @F.udf("array<array<string>>", useArrow=True)
     def parse(text: str) -> list[list[str]]:
@@ -155,7 +160,7 @@ def csv_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 def json_sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """row_number, cells of a JSON list of records, in the declared order of columns; missing ones are ''."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<map<string,string>>").alias("rows"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<map<string,string>>").alias("rows"))
     rows = raw.select(F.posexplode("rows").alias("n", "r"))
     return rows.select((F.col("n") + 1).alias("row_number"), F.array(*[F.coalesce(F.try_element_at("r", F.lit(c)), F.lit("")) for c in columns]).alias("cells"))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import report
@@ -22,19 +23,24 @@ def write_batch(batch: DataFrame, path: str, done_path: str, key: str = "path")
     batch.select(key).write.mode("append").text(done_path)
 
 
+def write_launched(results: DataFrame, path: str) -> None:
+    """One file of JSON: what succeeded (file, success, fields, validation, provider_chain) and what didn't (file, error), in one list, in order."""
+    columns = [c for c in ("file", "success", "fields", "validation", "provider_chain", "error") if c in results.columns]
+    rows = results.orderBy("seq") if "seq" in results.columns else results
+    rows.select(*columns).coalesce(1).write.mode("overwrite").json(path)
+
+
 def deduplicated(batch: DataFrame, key: str = "path") -> DataFrame:
     return batch.dropDuplicates([key])
 
 
-def snapshot(df: DataFrame, path: str) -> None:
-    """Replaces a table of learned state, rules, patterns or processed ids, which df may have been read from.
-
-    The new table is written beside it and takes its place when it is whole."""
-    jvm = df.sparkSession._jvm
+def swapped(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """What write() puts beside a folder takes its place when it is whole; the folder's own content may be what it reads."""
+    jvm = spark._jvm
     beside, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}") for x in ("new", "old"))
     at = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
-    fs = at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
-    df.write.mode("overwrite").parquet(beside.toString())
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    write(beside.toString())
     fs.delete(old, True)
     if fs.exists(at) and not fs.rename(at, old):
         raise OSError(f"{path} can't be moved")
@@ -43,6 +49,11 @@ def snapshot(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def snapshot(df: DataFrame, path: str) -> None:
+    """Replaces a table of learned state, rules, patterns or processed ids, which df may have been read from."""
+    swapped(df.sparkSession, path, lambda beside: df.write.mode("overwrite").parquet(beside))
+
+
 def clear(df: DataFrame, path: str) -> None:
     snapshot(df.limit(0), path)
 
@@ -113,4 +124,4 @@ def html_report(batch: DataFrame, title: str = "Batch report", key: str = "path"
     )
 
 
-__all__ = ["append_results", "clear", "column_index", "deduplicated", "html_report", "move_file", "moved", "snapshot", "upsert_named", "upserted", "write_batch"]
+__all__ = ["append_results", "clear", "column_index", "deduplicated", "html_report", "move_file", "moved", "snapshot", "swapped", "upsert_named", "upserted", "write_batch", "write_launched"]

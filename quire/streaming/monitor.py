@@ -74,6 +74,7 @@ def retrained(corrections: DataFrame, store: str, rules: str, checkpoint: str):
 
 def files_appearing(spark, folder: str, glob: str = "*") -> DataFrame:
     """A stream of the files that appear in a folder."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(folder).drop("content")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(folder).drop("content")
 
 
