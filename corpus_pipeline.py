@@ -9,6 +9,12 @@ and read again. All but the last return the columns of documents; n_chars follow
 4. mixing: poor and toxic documents are thinned out to the token shares of TARGETS beside the good ones, which all stay.
    Where they are scarcer than that they stay as they are; nothing is repeated.
 5. tokens: ids of every whole text with the byte span of each in it.
+
+What a stage has written is removed once its successor has written its own.
+
+Cases: null, empty and letterless texts have no language and go in the first stage; rows without an id stay up to the last, since
+nothing tells copies of them apart; of rows that repeat an id and a text one stays; an empty table gives no rows; further columns,
+whatever their names, are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -55,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}_{name}")
         docs = spark.read.parquet(path)
+        if before:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(before)
+            gone.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(gone, True)
+        before = path
     return docs
