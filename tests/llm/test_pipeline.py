@@ -6,12 +6,38 @@ import corpus_pipeline
 from quire.llm import langid, mixing, pii, registry, sentencepiece_codec
 
 
-def test_stages_on_awkward_rows(spark, awkward, empty):
+def test_stages_on_awkward_rows(spark, awkward, clashing, empty):
+    from pyspark.sql import functions as F
+
+    named = clashing.withColumns({c: F.lit(c) for c in ("own", "kept_id", "digest", "times", "told", "of_id", "mix_p", "mix_p_words", "mix_tokens", "mix_copies", "mark", "place", "root", "node", "doc")})
     for name, stage in corpus_pipeline.STAGES:
-        for docs in (awkward, empty):
+        kept = []
+        for docs in (awkward, empty, named):
             out = stage(spark, docs, SMALL)
-            assert name == "tokens" or out.columns == awkward.columns
-            assert out.count() <= docs.count()
+            assert name == "tokens" or out.columns == docs.columns
+            kept.append(out.count())
+            assert kept[-1] <= docs.count()
+        assert kept[0] == kept[2] and kept[1] == 0
+
+
+def test_run_on_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "ids", "begins", "ends"] and out.count() == 0
+
+
+def test_what_stages_leave_is_removed(spark):
+    from quire.llm.common import shared_folder
+
+    def folders():
+        return set(spark.sparkContext._jvm.java.io.File(shared_folder(spark).removeprefix("file:")).list() or [])
+
+    before = folders()
+    out = corpus_pipeline.run(spark, SMALL)
+    (new,) = {f for f in folders() - before if f.startswith("pipeline-")}
+    left = spark.sparkContext._jvm.java.io.File(f"{shared_folder(spark).removeprefix('file:')}/{new}").list()
+    assert list(left) == ["4_tokens"] and out.count() > 0
 
 
 def test_run(spark):
