@@ -25,10 +25,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,19 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 # --- records ---
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record: a revisit carries no block, but the length and digest of its full payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, serial: str = "") -> bytes:
+    """A WARC/1.1 record: a revisit carries no block, but the length and digest of its full payload.
+
+    Its id is made of its content and a serial number, so that repeated rows and rows without an id have ids of their own; pages are named in headers of ours."""
     block = b"" if kind == "revisit" else payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    name = uuid.UUID(bytes=hashlib.sha1(f"{serial}:{page_id}:{url}:{hashlib.sha1(payload).hexdigest()}".encode()).digest()[:16], version=5)
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
     head += [f"WARC-Payload-Digest: sha1:{hashlib.sha1(payload).hexdigest()}", f"X-Payload-Length: {len(payload)}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}", "Content-Type: text/html", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -164,7 +171,7 @@ def marked(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload
     keyed = pages.filter(F.col("page_id").isNotNull() & (F.octet_length("payload") >= REVISIT)).select("page_id", F.sha1("payload").alias("digest"))
     heads = keyed.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     heads = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    revisits = keyed.withColumn("salt", F.pmod("page_id", F.lit(SALTS)).cast("int")).join(heads, ["digest", "salt"]).filter("page_id <> head").select("page_id", "digest", "head").distinct()
+    revisits = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(heads, ["digest", "salt"]).filter("page_id <> head").select("page_id", "digest", "head").distinct()
     joined = pages.withColumn("digest", F.when(F.octet_length("payload") >= REVISIT, F.sha1("payload"))).join(revisits, ["page_id", "digest"], "left")
     again = F.col("head").isNotNull()
     return joined.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("head")).alias("refers_to"))
@@ -174,7 +181,7 @@ def write(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_
     """archive, content: each task packs its rows into archives of about ARCHIVE_BYTES of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, part, number = [], 0, TaskContext.get().partitionId(), 0
 
         def out() -> pa.RecordBatch:
             content = write_archive(held)
@@ -184,7 +191,8 @@ def write(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_
 
         for b in pieces(batches):
             for r in b.to_pylist():
-                held.append(record(r["page_id"], r["url"], bytes(r["payload"]), r["kind"], r["refers_to"]))
+                number += 1
+                held.append(record(r["page_id"], r["url"], bytes(r["payload"]), r["kind"], r["refers_to"], f"{part}:{number}"))
                 if (size := size + len(held[-1])) >= ARCHIVE_BYTES:
                     yield out()
                     size = 0
@@ -203,9 +211,8 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(n, types[t]) for n, t in (x.split() for x in schema.split(", "))])
 
-    def page(urn: str | None) -> int | None:
-        x = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(x) if x.lstrip("-").isdigit() else None
+    def page(x: str | None) -> int | None:
+        return int(x) if x and x.lstrip("-").isdigit() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,7 +223,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     if data is not None:
                         try:
                             h, block = parse(data)
-                            row |= {"page_id": page(h["warc-record-id"]), "record_type": h["warc-type"], "payload_bytes": int(h.get("x-payload-length", len(block))), "refers_to": page(h.get("warc-refers-to"))}
+                            row |= {"page_id": page(h.get("x-page-id")), "record_type": h["warc-type"], "payload_bytes": int(h.get("x-payload-length", len(block))), "refers_to": page(h.get("x-refers-to-page-id"))}
                             row |= {"payload_digest": h.get("warc-payload-digest", "sha1:" + hashlib.sha1(block).hexdigest())[5:]}
                             if payloads and h["warc-type"] != "revisit":
                                 row["payload"] = block
