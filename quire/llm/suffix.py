@@ -10,8 +10,9 @@ between the suffixes that induced them, so that it is carried along, up to a lim
 
 The queue works on blocks: a block is the longest run of tuples that no tuple which it induces
 could precede. Its sorted runs go to files once they exceed the memory given to it, and all
-arrays of a text's length are files above that size. The files are unlinked when made and belong
-to one task alone: a task that is lost leaves nothing behind and is run again from its input.
+arrays of a text's length are files above that size, made and read block by block. The files are
+unlinked when made and belong to one task alone: a task that is lost leaves nothing behind and is
+run again from its input.
 """
 
 from __future__ import annotations
@@ -75,6 +76,7 @@ class Queue:
 
     def peek(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The first tuples, up to `most` of each run, and the run of each; nothing left out precedes any of them."""
+        most = max(16, min(most, self.memory // (4 * max(1, len(self.runs)))))
         last, of = None, -1
         for i, (r, at) in enumerate(zip(self.runs, self.at, strict=True)):
             if len(r[0]) - at > most and (last is None or r[0][at + most] < last):
@@ -125,22 +127,82 @@ class Text:
     """A text of numbers under `size` that ends in its only 0, with the type of each suffix."""
 
     def __init__(self, chars: np.ndarray, size: int, memory: int = MEMORY):
-        chars = chars.astype(np.min_scalar_type(size - 1), copy=False)
-        self.chars, self.size, self.memory, self.n = chars, size, memory, len(chars)
+        self.size, self.memory, self.n, self.step = size, memory, len(chars), max(64, memory // 64)
+        self.chars = chars
+        if chars.dtype != (kind := np.min_scalar_type(size - 1)):
+            self.chars = scratch(self.n, kind, memory)
+            for a, b in self._blocks(self.n):
+                self.chars[a:b] = chars[a:b]
         # small types keep the scattered reads of the scans in the cache and let keys be sorted by radix
         self.key = np.uint16 if 2 * size + 2 < 65535 else np.int64
         self.place = np.int32 if self.n < 2**31 else np.int64
         self.smaller = scratch(self.n, bool, memory)  # S
-        changes = np.flatnonzero(chars[:-1] != chars[1:])
-        lengths = np.diff(np.concatenate([[-1], changes, [self.n - 1]]))
-        rising = np.concatenate([chars[changes] < chars[changes + 1], [True]])
-        self.smaller[:] = np.repeat(rising, lengths)
         self.runs = scratch(self.n, np.uint8, memory)  # how often a character stands from here on
-        ends = np.repeat(np.concatenate([changes, [self.n - 1]]), lengths)
-        self.runs[:] = np.minimum(ends - np.arange(self.n) + 1, FIRST - 1)
-        self.leftmost = (np.flatnonzero(self.smaller[1:] & ~self.smaller[:-1]) + 1).astype(self.place)
         self.typed = scratch(self.n, self.key, memory)  # character and type in one
-        np.add(self.chars.astype(self.key) << 1, self.smaller, out=self.typed, casting="unsafe")
+        self._classify()
+        found = 0
+        for a, b in self._blocks(self.n):
+            found += int(np.count_nonzero(self._first_of_stretch(a, b)))
+        self.leftmost = scratch(found, self.place, memory)
+        found = 0
+        for a, b in self._blocks(self.n):
+            at = np.flatnonzero(self._first_of_stretch(a, b)) + a
+            self.leftmost[found : found + len(at)] = at
+            found += len(at)
+
+    def _blocks(self, n: int):
+        return ((a, min(n, a + self.step)) for a in range(0, n, self.step))
+
+    def _first_of_stretch(self, a: int, b: int) -> np.ndarray:
+        """Which positions of a block are S after an L."""
+        s = np.asarray(self.smaller[max(0, a - 1) : b])
+        return np.concatenate([[False], s[1:] & ~s[:-1]]) if a == 0 else s[1:] & ~s[:-1]
+
+    def _classify(self) -> None:
+        """Types and runs, from the end on: a block needs the first character of the next one, its type and its run."""
+        char, smaller, run = None, True, 0
+        for a, b in reversed(list(self._blocks(self.n))):
+            c = np.asarray(self.chars[a:b])
+            after = np.concatenate([c[1:], c[-1:] if char is None else [char]])
+            change = c != after
+            if char is None:
+                change[-1] = True  # the text's end, an S of its own
+            rising = c < after
+            rising[-1] |= char is None
+            # the change at or after each position; the block's length where its last run goes on
+            n = b - a
+            at = np.minimum.accumulate(np.where(change, np.arange(n), n)[::-1])[::-1]
+            on = at == n
+            own = np.where(on, smaller, rising[np.minimum(at, n - 1)])
+            length = np.where(on, n - np.arange(n) + run, at - np.arange(n) + 1)
+            self.smaller[a:b] = own
+            self.runs[a:b] = np.minimum(length, FIRST - 1)
+            np.add(c.astype(self.key) << 1, own, out=self.typed[a:b], casting="unsafe")
+            char, smaller, run = c[0], bool(own[0]), int(length[0])
+
+    def _counted(self, of: np.ndarray, beyond: int = 1) -> np.ndarray:
+        """Of each character how many of some positions have a lesser one (beyond 0: the same or a lesser one)."""
+        less = scratch(self.size + 1, np.int64, self.memory)
+        less[:] = 0
+        for a, b in self._blocks(len(of)):
+            char, n = np.unique(self.chars[of[a:b]], return_counts=True)
+            less[char.astype(np.int64) + beyond] += n
+        np.cumsum(less, out=less)
+        return less
+
+    def _by_char(self, of: np.ndarray) -> np.ndarray:
+        """Positions in order of their characters, equal ones as they come."""
+        out, free = scratch(len(of), self.place, self.memory), self._counted(of)
+        for a, b in self._blocks(len(of)):
+            at = np.asarray(of[a:b])
+            char = self.chars[at].astype(np.int64)
+            order = np.argsort(char, kind="stable")
+            char = char[order]
+            head = np.flatnonzero(np.concatenate([[True], char[1:] != char[:-1]]))
+            n = np.diff(np.concatenate([head, [len(char)]]))
+            out[np.repeat(free[char[head]] - head, n) + np.arange(len(char))] = at[order]
+            free[char[head]] += n
+        return out
 
     def induce(self, seeds: np.ndarray, prefixes: np.ndarray | None, upwards: bool, cap: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and prefixes of the L suffixes in order (upwards) or the S suffixes in falling order, from sorted seeds of the other type."""
@@ -231,28 +293,59 @@ class Text:
         lms = self.leftmost
         if len(lms) < 2:
             return lms
-        by_char = lms[np.argsort(self.chars[lms], kind="stable")]
-        larger, _ = self.induce(by_char, None, True, 0)
-        smaller, _ = self.induce(larger[::-1], None, False, 0)
-        is_leftmost = scratch(self.n, bool, self.memory)
-        is_leftmost[:] = False
-        is_leftmost[lms] = True
-        order = np.concatenate([[self.n - 1], smaller[::-1][is_leftmost[smaller[::-1]]]])
-        place = np.searchsorted(lms, order)
-        length = np.concatenate([np.diff(lms) + 1, [1]])[place]
-        limit = np.where(length[1:] == length[:-1], length[1:], 0)
-        new = (self._differ(order[:-1], order[1:], limit) < length[1:]) | (limit == 0)
-        names = np.concatenate([[0], np.cumsum(new)])
-        if names[-1] + 1 == len(order):
+        larger, _ = self.induce(self._by_char(lms), None, True, 0)
+        falling, _ = self.induce(larger[::-1], None, False, 0)
+        del larger
+        order, done = scratch(len(lms), self.place, self.memory), 1
+        order[0] = self.n - 1
+        for a, b in self._blocks(len(falling)):
+            at = np.asarray(falling[::-1][a:b])
+            at = at[~self.smaller[at - 1] & (at > 0)]
+            order[done : done + len(at)] = at
+            done += len(at)
+        del falling
+        def strings(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Places and lengths of the strings from some leftmost S to the next."""
+            place = np.searchsorted(lms, at)
+            return place, np.where(place + 1 < len(lms), lms[np.minimum(place + 1, len(lms) - 1)] - at + 1, 1)
+
+        reduced, name = scratch(len(lms), np.int64, self.memory), 0
+        reduced[-1] = 0
+        for a, b in self._blocks(len(lms) - 1):
+            one, two = np.asarray(order[a:b]), np.asarray(order[a + 1 : b + 1])
+            (_, length), (place, own) = strings(one), strings(two)
+            limit = np.where(length == own, own, 0)
+            names = name + np.cumsum((self._differ(one, two, limit) < own) | (limit == 0))
+            reduced[place] = names
+            name = int(names[-1])
+        if name + 1 == len(lms):
             return order
-        reduced = scratch(len(lms), np.int64, self.memory)
-        reduced[place] = names
-        return lms[doubled(reduced) if len(lms) <= self.memory // 64 else suffixes(reduced, int(names[-1]) + 1, self.memory)]
-
-    def merged(self, larger: np.ndarray, smaller: np.ndarray) -> np.ndarray:
-        """Of L suffixes in order, then S suffixes in order, the places that all have by first character."""
-        key = np.concatenate([2 * self.chars[larger].astype(np.int64), 2 * self.chars[smaller].astype(np.int64) + 1])
-        return np.argsort(key, kind="stable")
+        found = doubled(np.asarray(reduced)) if len(lms) <= self.memory // 64 else suffixes(reduced, name + 1, self.memory)
+        for a, b in self._blocks(len(lms)):
+            order[a:b] = lms[found[a:b]]
+        return order
+
+    def merged(self, larger: np.ndarray, falling: np.ndarray, *columns: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """L suffixes in order and S suffixes in falling order, the end left out, become all suffixes in order; so do columns beside them (out, of L, of falling S)."""
+        at = scratch(self.n, self.place, self.memory)
+        after, before = self._counted(falling), self._counted(larger, 0)
+        at[0] = self.n - 1
+        for out, _, _ in columns:
+            out[0] = 0
+        for a, b in self._blocks(len(larger)):
+            own = np.asarray(larger[a:b])
+            to = np.arange(a, b) + 1 + after[self.chars[own].astype(np.int64)]
+            at[to] = own
+            for out, of, _ in columns:
+                out[to] = of[a:b]
+        rising = falling[::-1]
+        for a, b in self._blocks(len(rising)):
+            own = np.asarray(rising[a:b])
+            to = np.arange(a, b) + 1 + before[self.chars[own].astype(np.int64)]
+            at[to] = own
+            for out, _, of in columns:
+                out[to] = of[::-1][a:b]
+        return at
 
 
 def doubled(chars: np.ndarray) -> np.ndarray:
@@ -287,8 +380,7 @@ def suffixes(chars: np.ndarray, size: int, memory: int = MEMORY) -> np.ndarray:
         return np.zeros(text.n, np.int64)
     larger, _ = text.induce(text.sorted_leftmost(), None, True, 0)
     falling, _ = text.induce(larger[::-1], None, False, 0)
-    smaller = np.concatenate([[text.n - 1], falling[::-1]])
-    return np.concatenate([larger, smaller])[text.merged(larger, smaller)]
+    return text.merged(larger, falling)
 
 
 def suffixes_with_prefixes(chars: np.ndarray, size: int, cap: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
@@ -297,26 +389,33 @@ def suffixes_with_prefixes(chars: np.ndarray, size: int, cap: int, memory: int =
     if text.n < 2:
         return np.zeros(text.n, np.int64), np.zeros(text.n, np.uint8)
     lms = text.sorted_leftmost()
-    seed = np.zeros(len(lms), np.uint8)
-    seed[1:] = text._differ(lms[:-1], lms[1:], np.full(len(lms) - 1, cap))
+    seed = scratch(len(lms), np.uint8, memory)
     seed[0] = FIRST
-    seed[1:][text.chars[lms[1:]] != text.chars[lms[:-1]]] = FIRST
+    for a, b in text._blocks(len(lms) - 1):
+        one, two = np.asarray(lms[a:b]), np.asarray(lms[a + 1 : b + 1])
+        common = text._differ(one, two, np.full(b - a, cap))
+        seed[a + 1 : b + 1] = np.where(common == 0, FIRST, common)
     larger, larger_prefix = text.induce(lms, seed, True, cap)
     # going down, a suffix is compared with the one above it
-    above = np.concatenate([larger_prefix[1:], [0]]).astype(np.uint8)
-    if len(larger):
-        above[-1] = FIRST
-        above[:-1][text.chars[larger[:-1]] != text.chars[larger[1:]]] = FIRST
+    above = scratch(len(larger), np.uint8, memory)
+    for a, b in text._blocks(len(larger)):
+        last = b == len(larger)
+        char = text.chars[np.asarray(larger[a : b + 1])]
+        same = np.concatenate([char[:-1] == char[1:], [False]]) if last else char[:-1] == char[1:]
+        follow = np.concatenate([larger_prefix[a + 1 : b + 1], [FIRST]]) if last else larger_prefix[a + 1 : b + 1]
+        above[a:b] = np.where(same, follow, FIRST)
     falling, falling_prefix = text.induce(larger[::-1], above[::-1], False, cap)
-    smaller = np.concatenate([[text.n - 1], falling[::-1]])
-    rising = np.concatenate([[0, 0], falling_prefix[::-1][:-1]])[: len(smaller)].astype(np.uint8)
-    order = text.merged(larger, smaller)
-    at, prefix = np.concatenate([larger, smaller])[order], np.concatenate([larger_prefix, rising])[order]
-    # where S follows L of the same character, both start with that character alone
-    starts = chars[at]
-    meet = np.flatnonzero((starts[1:] == starts[:-1]) & text.smaller[at[1:]] & ~text.smaller[at[:-1]]) + 1
-    prefix[meet] = np.minimum(np.minimum(text.runs[at[meet]], text.runs[at[meet - 1]]), cap)
-    edge = np.flatnonzero(starts[1:] != starts[:-1]) + 1
-    prefix[edge] = 0
-    prefix[0] = 0
+    # a prefix that was carried down belongs to the suffix above; the lowest has none
+    own = scratch(len(falling), np.uint8, memory)
+    for a, b in text._blocks(len(falling)):
+        own[a:b] = np.concatenate([falling_prefix[a + 1 : b + 1], [0] * (b == len(falling))])
+    prefix = scratch(text.n, np.uint8, memory)
+    at = text.merged(larger, falling, (prefix, larger_prefix, own))
+    for a, b in text._blocks(text.n - 1):
+        both = np.asarray(at[a : b + 1])
+        char, smaller, runs = text.chars[both], text.smaller[both], text.runs[both]
+        same = char[1:] == char[:-1]
+        # where S follows L of the same character, both start with that character alone
+        meet = same & smaller[1:] & ~smaller[:-1]
+        prefix[a + 1 : b + 1] = np.where(meet, np.minimum(np.minimum(runs[1:], runs[:-1]), cap), np.where(same, prefix[a + 1 : b + 1], 0))
     return at, prefix

@@ -246,6 +246,32 @@ def test_suffix_and_prefix_arrays(memory):
         assert (at.tolist(), prefix.tolist()) == brute_suffixes(t, 20)
 
 
+def test_suffixes_of_a_text_far_larger_than_memory():
+    """The heap stays within a few times the memory given while the text alone is 25 times it; order and prefixes are right."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    memory = 1 << 18
+    passage = rng.integers(1, 90, 3000)
+    t = np.concatenate([x for _ in range(480) for x in (rng.integers(1, 90, 4000), passage)] + [[0]]).astype(np.uint16)
+    assert t.nbytes >= 25 * memory
+    tracemalloc.start()
+    at, prefix = suffix.suffixes_with_prefixes(t, 90, 50, memory)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak <= 16 * memory, peak / memory
+    n = len(t)
+    assert np.array_equal(np.bincount(at, minlength=n), np.ones(n))
+    some = np.sort(rng.choice(n - 1, 20_000, replace=False))
+    window = np.concatenate([t, np.zeros(60, np.uint16)])
+    for i in some.tolist():
+        a, b = int(at[i]), int(at[i + 1])
+        x, y = window[a : a + 60], window[b : b + 60]
+        d = np.flatnonzero(x != y)
+        k = int(d[0]) if len(d) else 60
+        assert prefix[i + 1] == min(k, 50) and (k == 60 or x[k] < y[k])
+
+
 def brute_removed(rows, length=50):
     order = lambda i: float("inf") if i is None else i
     first, out = {}, []
