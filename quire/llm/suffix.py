@@ -192,6 +192,8 @@ class Text:
 
     def _by_char(self, of: np.ndarray) -> np.ndarray:
         """Positions in order of their characters, equal ones as they come."""
+        if len(of) <= self.step:
+            return of[np.argsort(self.chars[of], kind="stable")]
         out, free = scratch(len(of), self.place, self.memory), self._counted(of)
         for a, b in self._blocks(len(of)):
             at = np.asarray(of[a:b])
@@ -312,11 +314,12 @@ class Text:
         reduced, name = scratch(len(lms), np.int64, self.memory), 0
         reduced[-1] = 0
         for a, b in self._blocks(len(lms) - 1):
-            one, two = np.asarray(order[a:b]), np.asarray(order[a + 1 : b + 1])
-            (_, length), (place, own) = strings(one), strings(two)
-            limit = np.where(length == own, own, 0)
-            names = name + np.cumsum((self._differ(one, two, limit) < own) | (limit == 0))
-            reduced[place] = names
+            at = np.asarray(order[a : b + 1])
+            place, length = strings(at)
+            own = length[1:]
+            limit = np.where(length[:-1] == own, own, 0)
+            names = name + np.cumsum((self._differ(at[:-1], at[1:], limit) < own) | (limit == 0))
+            reduced[place[1:]] = names
             name = int(names[-1])
         if name + 1 == len(lms):
             return order
