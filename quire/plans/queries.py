@@ -659,3 +659,8 @@ def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["minimum_slice"] = minimum_slice
+_LISTED = _NUMBERS.removeprefix("list_sort(list_distinct(").removesuffix("))")
+SQL["minimum_slice"] = f"""{_READINGS}, c AS (SELECT doc_id, CASE WHEN ok THEN ft WHEN full_tt THEN tt WHEN fc >= ac THEN ft ELSE tt END AS text,
+CASE WHEN ok THEN fc WHEN full_tt THEN ac ELSE greatest(fc, ac) END AS confidence, CASE WHEN ok THEN 'fast' WHEN full_tt THEN 'accurate' WHEN fc >= ac THEN 'fast' ELSE 'accurate' END AS provider FROM b),
+n AS (SELECT *, {_LISTED} AS l FROM c)
+SELECT doc_id, provider, confidence, len(list_distinct(l))::INT AS n_numbers, l[1] AS number, l[1] IS NOT NULL AS valid, count(*) OVER (PARTITION BY provider) AS n_of_provider FROM n"""
