@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ LENGTH, GRAM = 50, 24
 #: Raw bytes of a chunk about, bytes of text for each shard, and shards at most; a shard larger than memory is sorted on disk.
 CHUNK, SHARD, SHARDS = 4 << 20, 6 << 20, 1 << 14
 #: Positions hashed at a time.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 NOBODY = np.iinfo(np.int64).max
 
 _multiplier = np.uint64(0x9E3779B97F4A7C15)
@@ -87,27 +88,33 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     """Of documents that end at `ends`: each anchor's hash, its document, and its context's bounds.
 
     Of equal hashes the leftmost is the anchor: it depends on the string's own bytes alone."""
-    span, keys, docs, starts, stops = length - gram + 1, [], [], [], []
+    span, keys, starts, stops = length - gram + 1, [], [], []
     low = np.uint64((1 << 20) - 1)
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     for at in range(0, max(0, len(data) - length + 1), BLOCK):
-        block = data[at : at + BLOCK + length - 1]
-        h = hashes(block, gram)
-        p = (_least(h & ~low | np.arange(len(h), dtype=np.uint64), span) & low).astype(np.int64)
-        s = np.arange(at, at + len(p))
-        doc = np.searchsorted(ends, s, "right")
-        ok = s + length <= ends[doc]
-        s, p, doc = s[ok], p[ok], doc[ok]
-        if not len(s):
-            continue
-        new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)]))
-        keys.append(h[p[new]])
-        docs.append(doc[new])
-        starts.append(s[new])
-        stops.append(s[np.concatenate([new[1:], [len(s)]]) - 1] + length)
+        h = hashes(data[at : at + BLOCK + length - 1], gram)
+        p = _least(h & ~low | np.arange(len(h), dtype=np.uint64), span) & low
+        # strings that would run into the next document: the last length - 1 starts of each, or all of a short one
+        near = slice(np.searchsorted(ends, at, "right"), np.searchsorted(begins, at + len(p), "left"))
+        edges = np.zeros(len(p) + 1, np.int32)
+        np.add.at(edges, np.clip(np.maximum(begins[near], ends[near] - length + 1) - at, 0, len(p)), 1)
+        np.add.at(edges, np.clip(ends[near] - at, 0, len(p)), -1)
+        ok = np.cumsum(edges[:-1]) == 0
+        moved = (p[1:] != p[:-1]) | ~(ok[1:] & ok[:-1])
+        first = np.flatnonzero(ok & np.concatenate([[True], moved]))
+        keys.append(h[p[first].astype(np.int64)])
+        starts.append(first + at)
+        stops.append(np.flatnonzero(ok & np.concatenate([moved, [True]])) + at + length)
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return tuple(map(np.concatenate, (keys, docs, starts, stops)))
+    found = np.concatenate(starts)
+    return np.concatenate(keys), np.searchsorted(ends, found, "right"), found, np.concatenate(stops)
+
+
+def bytes_of(values: pa.Array) -> bytes:
+    """The values of a large_binary array without nulls, joined."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return values.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes() if len(values) else b""
 
 
 class Chunk:
@@ -137,38 +144,41 @@ class Chunk:
         bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[by]) != 0, [True]]))
         return [(int(shard[by[a]]), unique[by[a:b]], many[by[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def contexts(self, told: dict[int, bytes]) -> tuple[list[tuple[int, list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-        """Of the anchors told to be common (shard, (hash, context) pairs, least id of each, whether one id has it, its number); all occurrences by number, and where each number's begin."""
+    def contexts(self, told: dict[int, bytes]) -> tuple[list[tuple[int, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """Of the anchors told to be common (shard, hashes, contexts, least id of each, whether one id has it, its number); all occurrences by number, and where each number's begin.
+
+        A context's own bytes tell its anchor, so that contexts alone are numbered."""
         common = np.sort(np.concatenate([keys[np.unpackbits(np.frombuffer(told[s], np.uint8), count=len(keys)).astype(bool)] for s, keys, _ in self.hashes() if s in told] or [np.empty(0, np.uint64)]))
         if not len(common):
             return [], np.empty(0, np.int64), np.zeros(1, np.int64)
         place = np.minimum(np.searchsorted(common, self.keys), len(common) - 1)
         seen = np.flatnonzero(common[place] == self.keys)
-        numbers: dict[tuple[int, bytes], int] = {}
         body = self.body
-        number = np.array([numbers.setdefault((k, body[s:e]), len(numbers)) for k, s, e in zip(self.keys[seen].tolist(), self.starts[seen].tolist(), self.stops[seen].tolist(), strict=True)], np.int64)
-        pairs = list(numbers)
+        encoded = pa.array([body[s:e] for s, e in zip(self.starts[seen].tolist(), self.stops[seen].tolist(), strict=True)], pa.large_binary()).dictionary_encode()
+        number, contexts = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
         ids = self.order[self.docs[seen]]
-        least = np.full(len(pairs), NOBODY)
+        least = np.full(len(contexts), NOBODY)
         np.minimum.at(least, number, ids)
-        most = np.full(len(pairs), np.iinfo(np.int64).min)
+        most = np.full(len(contexts), np.iinfo(np.int64).min)
         np.maximum.at(most, number, ids)
-        occurrences = seen[np.argsort(number, kind="stable")]
-        firsts = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(pairs)))])
-        shard = np.array([k % self.shards for k, _ in pairs], np.int64)
+        by_number = np.argsort(number, kind="stable")
+        occurrences = seen[by_number]
+        firsts = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(contexts)))])
+        keys = self.keys[occurrences[firsts[:-1]]]
+        shard = (keys % np.uint64(self.shards)).astype(np.int64)
         by = np.argsort(shard, kind="stable")
         bounds = np.flatnonzero(np.concatenate([[True], np.diff(shard[by]) != 0, [True]]))
         out = []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             own = by[a:b]
-            out.append((int(shard[own[0]]), [pairs[i] for i in own], least[own], least[own] == most[own], own))
+            out.append((int(shard[own[0]]), keys[own], contexts.take(pa.array(own)), least[own], least[own] == most[own], own))
         return out, occurrences, firsts
 
     def cut(self, told: dict[int, bytes], found: dict[int, bytes]) -> list[tuple]:
         """(id, bytes, removed, runs, digest of what is left) of each document."""
         edges = np.zeros(len(self.data) + 1, np.int32)
         by_shard, occurrences, firsts = self.contexts(told) if found else ([], None, None)
-        for shard, _, _, _, own in by_shard:
+        for shard, *_, own in by_shard:
             if shard not in found:
                 continue
             rows = np.frombuffer(found[shard], FOUND)
@@ -216,11 +226,21 @@ def common_hashes(blobs: list[bytes]) -> list[bytes]:
     return [np.packbits(c).tobytes() for c in np.split(common[of], np.cumsum([len(v) for v in values])[:-1])]
 
 
-def least_holders(windows: list[bytes], least: np.ndarray, length: int, memory: int = suffix.MEMORY) -> list[np.ndarray]:
-    """For each string of `length` bytes of each text the least id among the texts that hold it, by the texts' suffix array."""
-    sizes = np.array([len(w) for w in windows])
-    chars = np.frombuffer(b"\0".join(windows) + b"\0\0", np.uint8).astype(np.uint16) + np.uint16(2)
+def packed_contexts(keys: np.ndarray, contexts: pa.Array, least: np.ndarray, single: np.ndarray) -> bytes:
+    """What a chunk tells a shard: the number of contexts, an ENTRY for each, and their bytes."""
+    e = np.empty(len(keys), ENTRY)
+    e["key"], e["size"], e["single"], e["least"] = keys >> np.uint64(32), pc.binary_length(contexts).to_numpy(), single, least
+    return zstandard.ZstdCompressor(level=1).compress(len(e).to_bytes(4, "little") + e.tobytes() + bytes_of(contexts))
+
+
+def least_holders(windows: pa.Array, least: np.ndarray, length: int, memory: int = suffix.MEMORY) -> np.ndarray:
+    """For each string of `length` bytes of each text, one after the other, the least id among the texts that hold it, by the texts' suffix array."""
+    sizes = pc.binary_length(windows).to_numpy()
     begins = np.cumsum(sizes + 1) - sizes - 1
+    chars = np.empty(int(sizes.sum()) + len(sizes) + 1, np.uint16)
+    inside = np.ones(len(chars), bool)
+    inside[begins[1:] - 1] = inside[-2:] = False
+    chars[inside] = np.frombuffer(bytes_of(windows), np.uint8).astype(np.uint16) + np.uint16(2)
     chars[begins[1:] - 1] = 1
     chars[-2:] = 1, 0
     at, prefix = suffix.suffixes_with_prefixes(chars, 258, length, memory)
@@ -234,40 +254,55 @@ def least_holders(windows: list[bytes], least: np.ndarray, length: int, memory:
     counts = sizes - length + 1
     out = np.empty(int(counts.sum()), np.int64)
     out[(np.cumsum(counts) - counts)[text] + offset] = first[group]
-    return np.split(out, np.cumsum(counts)[:-1])
+    return out
 
 
 def shard_answers(blobs: list[bytes], length: int, memory: int = suffix.MEMORY) -> list[bytes]:
     """FOUND rows for each chunk's contexts of a shard."""
-    numbers: dict[tuple[int, bytes], int] = {}
-    chunks, leasts = [], []
+    entries, contexts = [], []
     for b in blobs:
         b = zstandard.ZstdDecompressor().decompress(b)
         n = int.from_bytes(b[:4], "little")
-        e = np.frombuffer(b, ENTRY, n, 4)
-        stops = (4 + n * ENTRY.itemsize + np.cumsum(e["size"], dtype=np.int64)).tolist()
-        chunks.append((np.array([numbers.setdefault((k, b[s - z : s]), len(numbers)) for k, z, s in zip(e["key"].tolist(), e["size"].tolist(), stops, strict=True)], np.int64), e))
-    least = np.full(len(numbers), NOBODY)
-    for number, e in chunks:
-        np.minimum.at(least, number, e["least"])
-    pairs = list(numbers)
-    keys = np.array([k for k, _ in pairs], np.uint64)
+        entries.append(e := np.frombuffer(b, ENTRY, n, 4))
+        offsets = np.concatenate([[0], np.cumsum(e["size"], dtype=np.int64)]) + 4 + n * ENTRY.itemsize
+        contexts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b)]))
+    encoded = pa.concat_arrays(contexts).dictionary_encode()
+    number, known = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
+    e = np.concatenate(entries)
+    least, keys = np.full(len(known), NOBODY), np.empty(len(known), np.uint32)
+    np.minimum.at(least, number, e["least"])
+    keys[number] = e["key"]
     _, of, times = np.unique(keys, return_inverse=True, return_counts=True)
-    alone = times[of] == 1
-    others = np.flatnonzero(~alone)
-    runs: dict[int, list[tuple[int, int, int]]] = {}
+    others = np.flatnonzero(times[of] > 1)
+    # runs of strings with one least holder; a context that is alone with its anchor is one run
+    strings = pc.binary_length(known).to_numpy() - length + 1
+    text, start, stop, first = np.arange(len(known)), np.zeros(len(known), np.int64), strings, least
     if len(others):
-        for i, x in zip(others.tolist(), least_holders([pairs[i][1] for i in others], least[others], length, memory), strict=True):
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [len(x)]]).tolist()
-            runs[i] = [(a, b, int(x[a])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    out = []
-    for number, e in chunks:
-        rows = []
-        for j, (i, single, own) in enumerate(zip(number.tolist(), e["single"].tolist(), e["least"].tolist(), strict=True)):
-            for a, b, first in runs.get(i) or ((0, len(pairs[i][1]) - length + 1, int(least[i])),):
-                if first < own or not single:
-                    rows.append((j, a, b, first))
-        out.append(np.array(rows, FOUND).tobytes())
+        x = least_holders(known.take(pa.array(others)), least[others], length, memory)
+        begins = np.cumsum(strings[others]) - strings[others]
+        new = np.concatenate([[True], x[1:] != x[:-1]])
+        new[begins] = True
+        head = np.flatnonzero(new)
+        place = np.searchsorted(begins, head, "right") - 1
+        alone = np.flatnonzero(times[of] == 1)
+        text = np.concatenate([alone, others[place]])
+        start = np.concatenate([start[alone], head - begins[place]])
+        stop = np.concatenate([stop[alone], np.concatenate([head[1:], [len(x)]]) - begins[place]])
+        first = np.concatenate([first[alone], x[head]])
+    by = np.argsort(text, kind="stable")
+    start, stop, first = start[by], stop[by], first[by]
+    runs = np.bincount(text, minlength=len(known))
+    firsts = np.cumsum(runs) - runs
+    out, done = [], 0
+    for e in entries:
+        own = number[done : done + len(e)]
+        done += len(e)
+        of = np.repeat(np.arange(len(e)), runs[own])
+        at = np.arange(len(of)) + np.repeat(firsts[own] - (np.cumsum(runs[own]) - runs[own]), runs[own])
+        told = (first[at] < e["least"][of]) | (e["single"][of] == 0)
+        rows = np.empty(int(np.count_nonzero(told)), FOUND)
+        rows["number"], rows["start"], rows["stop"], rows["least"] = of[told], start[at[told]], stop[at[told]], first[at[told]]
+        out.append(rows.tobytes())
     return out
 
 
@@ -338,10 +373,8 @@ def remove(df: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = C
         for b in batches:
             for r in range(b.num_rows):
                 rows = []
-                for s, pairs, least, single, _ in make(b, r).contexts(told(b, r, "told"))[0]:
-                    e = np.empty(len(pairs), ENTRY)
-                    e["key"], e["size"], e["single"], e["least"] = [k >> 32 for k, _ in pairs], [len(c) for _, c in pairs], single, least
-                    rows.append((s, b["chunk"][r].as_py(), zstandard.ZstdCompressor(level=1).compress(len(pairs).to_bytes(4, "little") + e.tobytes() + b"".join(c for _, c in pairs))))
+                for s, keys, contexts, least, single, _ in make(b, r).contexts(told(b, r, "told"))[0]:
+                    rows.append((s, b["chunk"][r].as_py(), packed_contexts(keys, contexts, least, single)))
                 if rows:
                     yield batch(rows)
 
