@@ -11,6 +11,11 @@ from pyspark.sql.types import DoubleType
 CONFUSED, MEANT = "|lOoSBZ", "I100582"
 # Numbers with separators, then plain ones.
 NUMBER_PATTERNS = (r"(?U)(?i)\b[E0]*\d[\d\s\.,]{5,14}\d\b", r"(?U)(?i)\b[E0]*\d{6,10}\b")
+# The same where words, digits and white space are those of ASCII; Java's own \b takes letters of all alphabets for words.
+# What precedes a number is looked at behind its first character, as few characters can be that.
+_FIRST, _END = "[Ee0-9](?<![0-9A-Za-z_].)", "(?![0-9A-Za-z_])"
+_LED = "(?:(?<=[Ee0])[Ee0]*[0-9]|(?<=[0-9]))"
+ASCII_NUMBER_PATTERNS = (rf"{_FIRST}{_LED}[0-9 \t\n\f\r.,]{{5,14}}[0-9]{_END}", rf"{_FIRST}(?:(?<=[Ee0])[Ee0]*[0-9]{{6,10}}|(?<=[0-9])[0-9]{{5,9}}){_END}")
 #: Wherever a line may end.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -46,9 +51,13 @@ def clean_number(number: Column) -> Column:
     return F.when(bare.rlike(r"\A[0-9]{6,10}\z"), bare)
 
 
-def extract_numbers(text: Column) -> Column:
-    """All different numbers of a text, those with separators first."""
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in NUMBER_PATTERNS])
+def extract_numbers(text: Column, ascii_only: bool = False) -> Column:
+    """All different numbers of a text, those with separators first.
+
+    ascii_only: a letter beyond ASCII ends a word, and any ASCII white space separates, as in RE2."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (ASCII_NUMBER_PATTERNS if ascii_only else NUMBER_PATTERNS)])
+    if ascii_only:
+        found = F.transform(found, lambda x: F.translate(x, "\t\n\f\r", "    "))
     return F.array_distinct(F.filter(F.transform(found, clean_number), lambda x: x.isNotNull()))
 
 

@@ -6,14 +6,16 @@ import json
 import os
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
+from helpers import rows
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.ranges import at_or_below, quantiles
 from quire.operators import cascade, extract, feedback, images, mining, monitor, report
-from quire.plans import jobs
+from quire.plans import jobs, queries
 from quire.sources import providers, readers, sheets, sinks
 from quire.streaming import monitor as streaming
 
@@ -50,6 +52,25 @@ def test_hooks_see_the_results(spark):
 # --- numbers and text ---
 
 
+NUMBERED = ["ñ11 1111 de", "Ñ111111.", "n 111111 10ñm", "ciñ11 87.85.52.247 11a", "a\n123\n456 b", "a 12\t34\f56\r7,8.", "x_123456 E0123456", "1 2\u00a03 4 5 6 7", "1 23\x0b45 67 8", "\u0663123456\u0663", "e00 123.456,7", "", None]
+
+
+@pytest.mark.parametrize("name", ["extract_numbers", "minimum_slice"])
+def test_letters_beyond_ascii_end_words_as_in_sql(spark, tmp_path, name):
+    docs = [(16 + 35 * i, t) for i, t in enumerate(NUMBERED)]  # these ids have both readings
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(queries.SQL[name])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in found.description], found.fetchall())
+
+
+def test_numbers_by_the_words_of_unicode(spark):
+    df = spark.createDataFrame([("ñ111111",), ("ñ 111111",)], "text string")
+    assert [r[0] for r in df.select(T.extract_numbers(F.col("text"))).collect()] == [[], ["111111"]]
+
+
 def test_counts_are_rounded_as_binary_values(spark):
     some = [0, 999, 1000, 1049, 1050, 1150, 1250, 1350, 999_949, 999_950, 1_000_000, 1_050_000, 1_250_000, 12_345_678_900]
     expected = [f"{n / 1e6:.1f} M" if n >= 1_000_000 else f"{n / 1e3:.1f} k" if n >= 1000 else str(n) for n in some]
