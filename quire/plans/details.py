@@ -42,7 +42,7 @@ def validate_overlaid(spark, sf_dir):
 
 @query("SELECT s_suppkey, concat('PLT-', right(concat('0000', s_suppkey), 4)) AS plate, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('N', s_suppkey) END AS owner, s_suppkey % 4 <> 0 AS success FROM supplier")
 def extract_plate(spark, sf_dir):
-    text = F.concat(F.lit("PLT-"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0"), F.when(F.col("s_suppkey") % 4 == 0, F.lit("\n")).otherwise(F.concat(F.lit("\nowner: first\n OWNER : N"), F.col("s_suppkey").cast("string"))))
+    text = F.concat(F.lit("PLT-"), F.right(F.concat(F.lit("0000"), F.col("s_suppkey").cast("string")), F.lit(4)), F.when(F.col("s_suppkey") % 4 == 0, F.lit("\n")).otherwise(F.concat(F.lit("\nowner: first\n OWNER : N"), F.col("s_suppkey").cast("string"))))
     done = E.PLATE.process(read(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")))
     return done.select("s_suppkey", F.element_at("fields", F.lit("plate")).alias("plate"), F.element_at("fields", F.lit("owner")).alias("owner"), "success")
 

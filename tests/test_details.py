@@ -12,6 +12,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
+import quire.plans.details  # noqa: F401  registers its queries
 from quire.functions import text as T
 from quire.functions.ranges import at_or_below, quantiles
 from quire.operators import cascade, extract, feedback, images, mining, monitor, report
@@ -49,6 +50,15 @@ def test_hooks_see_the_results(spark):
     assert len(processed(spark, hooked, ["x"])) == 1 and "matches" in seen[0]
 
 
+def test_plates_of_long_keys_as_in_sql(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (0, 7, 9_999, 10_001, 12_344, 60_000, 123_456_789)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    df = queries.QUERIES["extract_plate"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    found = con.execute(queries.SQL["extract_plate"])
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in found.description], found.fetchall())
+
+
 # --- numbers and text ---
 
 
