@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
 MAX_DISTANCE, MAX_SIMILAR, SURE = 2, 5, 3.0
+#: Variants that meet in a task; each is a row of some 50 bytes.
+KEYS_A_TASK = 250_000
 
 
 def variants(text: Column, distance: int) -> Column:
@@ -19,15 +23,37 @@ def variants(text: Column, distance: int) -> Column:
     return out
 
 
-def pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, distance: int = MAX_DISTANCE) -> DataFrame:
+def _tasks(distance: int, *columns: tuple[DataFrame, str]) -> int:
+    """So many tasks that each gets KEYS_A_TASK variants of the columns at most, on average."""
+    keys = 0
+    for df, name in columns:
+        size = F.length(F.col(name).cast("string"))
+        count = term = F.lit(1.0)
+        for d in range(distance):
+            term = term * (size - d) / (d + 1)
+            count = count + term
+        keys += df.agg(F.sum(count)).first()[0] or 0
+    least = int(columns[0][0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(keys / KEYS_A_TASK))
+
+
+def pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, distance: int = MAX_DISTANCE, carried: tuple[str, ...] = (), tasks: int | None = None) -> DataFrame:
     """left_key, right_key, distance of all pairs of different values within the distance.
 
-    Strings within it have a variant in common, so an equi-join finds all of them; no pair of values is tried blindly."""
-    side = lambda df, key, name: df.select(F.col(key).cast("string").alias(name)).filter(F.col(name).isNotNull()).distinct().withColumn("__v", F.explode(variants(F.col(name), distance)))
-    a, b = side(left, left_key, "__a"), side(right, right_key, "__b")
-    found = a.join(b, "__v").select("__a", "__b").distinct()
-    d = F.levenshtein("__a", "__b", distance)
-    return found.withColumn("distance", d).filter(F.col("distance").between(0, distance)).select(F.col("__a").alias(left_key), F.col("__b").alias(right_key), "distance")
+    Strings within it have a variant in common, so an equi-join finds all of them; no pair of values is tried blindly.
+    Pairs are measured as they meet, and only those within the distance are kept and made unique. The number of tasks follows
+    the number of variants, so that a task's memory doesn't grow with the tables. carried: columns of right that its key decides."""
+    n = tasks or _tasks(distance, (left, left_key), (right, right_key))
+
+    def side(df: DataFrame, key: str, name: str, more: tuple[str, ...] = ()) -> DataFrame:
+        values = df.select(F.col(key).cast("string").alias(name), *more).filter(F.col(name).isNotNull()).repartition(n, name).distinct()
+        return values.withColumn("__v", F.explode(variants(F.col(name), distance))).repartition(n, "__v")
+
+    a, b = side(left, left_key, "__a"), side(right, right_key, "__b", carried)
+    found = a.join(b.hint("merge"), "__v").withColumn("distance", F.levenshtein("__a", "__b", distance))
+    taken = F.greatest(F.length("__a"), F.length("__b")) - F.length("__v")  # a pair also meets with no more taken away than its distance
+    found = found.filter(F.col("distance").between(0, distance) & (taken <= F.col("distance"))).drop("__v").repartition(n, "__a").distinct()
+    return found.select(F.col("__a").alias(left_key), F.col("__b").alias(right_key), "distance", *carried)
 
 
 def preferred_path(paths: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import quire.plans.details  # noqa: F401  registers its queries
 from quire.functions import text as T
 from quire.functions.ranges import at_or_below, quantiles
-from quire.operators import cascade, extract, feedback, images, mining, monitor, report
+from quire.operators import cascade, extract, feedback, images, mining, monitor, report, similar
 from quire.plans import jobs, queries
 from quire.sources import providers, readers, sheets, sinks
 from quire.streaming import monitor as streaming
@@ -59,6 +59,41 @@ def test_plates_of_long_keys_as_in_sql(spark, tmp_path):
     assert rows(df.columns, df.collect()) == rows([d[0] for d in found.description], found.fetchall())
 
 
+# --- similarity ---
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, left = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+    return row[-1]
+
+
+def strings(seed, n, least=0):
+    r = np.random.default_rng(seed)
+    return ["".join(r.choice(list("abé1"), r.integers(least, 7))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+def test_all_pairs_within_a_distance_are_found_once(spark, distance):
+    a, b = strings(1, 60) + ["", None], strings(2, 90) + ["a", "", None]
+    left, right = spark.createDataFrame([(x,) for x in a], "l string"), spark.createDataFrame([(x,) for x in b], "r string")
+    brute = sorted((x, y, d) for x in {*a} - {None} for y in {*b} - {None} if (d := edits(x, y)) <= distance)
+    assert sorted(map(tuple, similar.pairs(left, right, "l", "r", distance).collect())) == brute
+
+
+def test_tasks_of_pairs_follow_the_variants_and_no_side_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(similar, "KEYS_A_TASK", 500)
+    numbers = lambda n, step: spark.range(n).select((F.col("id") * step + 100_000).cast("string").alias("n"))
+    found = similar.pairs(numbers(100, 7).withColumnRenamed("n", "l"), numbers(400, 11), "l", "n")
+    assert found.rdd.getNumPartitions() == 22 * 500 // 500  # six digits have 1 + 6 + 15 variants at most
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+    assert similar.similar_references(spark.createDataFrame([("100000",)], "target string"), numbers(400, 11).select(F.col("n").alias("number"), F.array(F.lit("x")).alias("paths"), F.lit(1).alias("seq"))).count() == 5
+
+
 # --- numbers and text ---
 
 
