@@ -64,12 +64,17 @@ def preferred_path(paths: Column) -> Column:
 def similar_references(targets: DataFrame, index: DataFrame, k: int = MAX_SIMILAR, distance: int = MAX_DISTANCE, similarity: Column | None = None) -> DataFrame:
     """target, number, distance, similarity, path, priority, rank: the k most similar of the index (number, paths, seq).
 
-    Most similar first, manual references before others, then as in the index. Default similarity: the matching-blocks ratio."""
-    found = pairs(targets, index, "target", "number", distance).join(index, "number")
-    path = preferred_path(F.col("paths"))
-    found = found.withColumn("similarity", T.similarity_ratio(F.col("target"), F.col("number")) if similarity is None else similarity).withColumn("path", path)
-    found = found.withColumn("priority", F.when(F.lower("path").contains("manual"), "manual").otherwise("automatic"))
-    w = Window.partitionBy("target").orderBy(F.desc("similarity"), (F.col("priority") != "manual").cast("int"), "seq")
+    Most similar first, manual references before others, then as in the index. similarity: of target, number and distance; default: the
+    matching-blocks ratio. Each target's k numbers are chosen by their first references, which travel with them; only then are others met."""
+    index = index.withColumn("path", preferred_path(F.col("paths")))
+    index = index.withColumn("priority", F.when(F.lower("path").contains("manual"), "manual").otherwise("automatic"))
+    index = index.withColumn("__late", (F.col("priority") != "manual").cast("int")).select("number", "path", "priority", "__late", "seq")
+    order, n = ("__late", "seq"), _tasks(distance, (targets, "target"), (index, "number"))
+    ranked = index.repartition(n, "number").withColumn("__n", F.row_number().over(Window.partitionBy("number").orderBy(*order))).filter(F.col("__n") <= k)
+    found = pairs(targets, ranked.filter("__n = 1"), "target", "number", distance, order, n)
+    found = found.withColumn("similarity", T.similarity_ratio(F.col("target"), F.col("number")) if similarity is None else similarity)
+    w = Window.partitionBy("target").orderBy(F.desc("similarity"), *order)
+    found = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank", *order).join(ranked, "number")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("target", "number", "distance", "similarity", "path", "priority", "rank")
 
 

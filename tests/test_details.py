@@ -94,6 +94,19 @@ def test_tasks_of_pairs_follow_the_variants_and_no_side_is_broadcast(spark, monk
     assert similar.similar_references(spark.createDataFrame([("100000",)], "target string"), numbers(400, 11).select(F.col("n").alias("number"), F.array(F.lit("x")).alias("paths"), F.lit(1).alias("seq"))).count() == 5
 
 
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_most_similar_references_with_numbers_in_many(spark, k):
+    targets, numbers = sorted({*strings(3, 25, 2)}), strings(4, 150, 2)
+    index = [(x, [["a.png"], ["a.png", "MANUAL/b.png"], []][i % 3], i) for i, x in enumerate(numbers)]
+    df = spark.createDataFrame(index, "number string, paths array<string>, seq int")
+    got = similar.similar_references(spark.createDataFrame([(t,) for t in targets], "target string"), df, k, similarity=1 - F.col("distance") / 10.0).collect()
+    brute = []
+    for t in targets:
+        near = sorted((edits(t, x), not (manual := len(p) == 2), s, x, (p[1:] or p or [None])[0], "manual" if manual else "automatic") for x, p, s in index if edits(t, x) <= 2)[:k]
+        brute += [(t, x, d, path, priority, i) for i, (d, _, _, x, path, priority) in enumerate(near, 1)]
+    assert sorted((r.target, r.rank, r.number, r.distance, r.path, r.priority) for r in got) == sorted((t, i, x, d, p, q) for t, x, d, p, q, i in brute)
+
+
 # --- numbers and text ---
 
 
