@@ -107,6 +107,13 @@ def test_most_similar_references_with_numbers_in_many(spark, k):
     assert sorted((r.target, r.rank, r.number, r.distance, r.path, r.priority) for r in got) == sorted((t, i, x, d, p, q) for t, x, d, p, q, i in brute)
 
 
+def test_references_are_chosen_before_the_index_is_met(spark):
+    df = spark.createDataFrame([("100000", ["x"], 1)], "number string, paths array<string>, seq int")
+    plan = similar.similar_references(df.select(F.col("number").alias("target")), df, similarity=F.lit(1.0))._jdf.queryExecution().optimizedPlan().toString()
+    met = plan[plan.index("Join ") :]  # the last join and what leads to it
+    assert any("Window [row_number()" in line and "[target#" in line for line in met.splitlines())
+
+
 # --- numbers and text ---
 
 
